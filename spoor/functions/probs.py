@@ -29,7 +29,7 @@ def entropy(logprobs: Column, k: int = 20) -> Column:
 def confidence(logprobs: Column) -> Column:
     """C-04: minus the mean log-probability, rounded half-even to 3; empty gives null."""
     n = F.size(logprobs)
-    return F.when(n > 0, F.bround(-F.aggregate(logprobs, F.lit(0.0), lambda a, x: a + x) / n, 3))
+    return F.when(n > 0, F.bround(F.round(-F.aggregate(logprobs, F.lit(0.0), lambda a, x: a + x) / n, 9), 3))
 
 
 def confidence_from_probs(probs: Column) -> Column:

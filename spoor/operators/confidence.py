@@ -15,7 +15,7 @@ T = ["traj_id"]
 
 def token_confidence(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
     """C-04 long form: minus the mean log-probability per position, half-even at 3 digits."""
-    return cands.groupBy(*keys).agg(F.bround(-F.avg("logprob"), 3).alias("conf"))
+    return cands.groupBy(*keys).agg(F.bround(F.round(-F.avg("logprob"), 9), 3).alias("conf"))
 
 
 def indexed(confs: DataFrame) -> DataFrame:
@@ -126,4 +126,4 @@ def self_certainty(rows: DataFrame, keys: Sequence[str], vocabulary: int) -> Dat
     import math
 
     per = -F.col("logprob_sum") / vocabulary - math.log(vocabulary)
-    return rows.groupBy(*keys).agg((F.sum(F.col("mask") * per) / F.sum("mask")).alias("self_certainty"))
+    return rows.groupBy(*keys).agg((F.sum(F.col("mask") * per) / F.nullif(F.sum("mask"), F.lit(0))).alias("self_certainty"))

@@ -1,6 +1,6 @@
 """All query modules, imported for their registrations."""
 
-from . import q_confidence, q_entropy, q_phases, q_voting  # noqa: F401
+from . import q_agent, q_confidence, q_entropy, q_metrics, q_phases, q_voting  # noqa: F401
 from .registry import QUERIES, oracles
 
 __all__ = ["QUERIES", "oracles"]

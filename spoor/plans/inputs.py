@@ -50,6 +50,13 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
     return shared("traces", spark, sf, build)
 
 
+def half_even(x: str) -> str:
+    """Non-negative value rounded half-even at three digits, in integers, as oracle SQL."""
+    v = f"CAST(round(({x}) * 1e9) AS BIGINT)"
+    q, r = f"({v} // 1000000)", f"({v} % 1000000)"
+    return f"({q} + CASE WHEN {r} > 500000 OR ({r} = 500000 AND {q} % 2 = 1) THEN 1 ELSE 0 END) / 1000.0"
+
+
 def _scan_sql(combos) -> str:
     """The phase rule as a recursive scan, one token of every trajectory per step."""
     grid = ", ".join(f"({t}, {b}, {c})" for t, b, c in combos)
@@ -105,7 +112,7 @@ CTES["trajectories"] = """SELECT e.*, c.weighted_average_center AS centroid, coa
 CTES["keyed"] = r"""SELECT *, CASE WHEN extracted_answer IS NULL THEN '__none__'
   WHEN regexp_replace(lower(trim(extracted_answer)), '\s+', ' ', 'g') = '' THEN '__empty__'
   ELSE regexp_replace(lower(trim(extracted_answer)), '\s+', ' ', 'g') END AS key FROM trajectories"""
-CTES["confs"] = """SELECT traj_num AS traj_id, position, round_even(-avg(logprob), 3) AS conf,
+CTES["confs"] = f"""SELECT traj_num AS traj_id, position, {half_even('-avg(logprob)')} AS conf,
   row_number() OVER (PARTITION BY traj_num ORDER BY position) - 1 AS i, count(*) OVER (PARTITION BY traj_num) AS n
   FROM candidates GROUP BY traj_num, position"""
 CTES["windows"] = f"""SELECT traj_id, i, m, row_number() OVER (PARTITION BY traj_id ORDER BY round(m, 9), i) - 1 AS r, count(*) OVER (PARTITION BY traj_id) AS mm

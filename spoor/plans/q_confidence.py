@@ -6,7 +6,7 @@ from ..functions import probs
 from ..operators import confidence as cf
 from ..operators import entropy as en
 from . import fixtures as fx
-from .inputs import WINDOW, confs, traces
+from .inputs import WINDOW, confs, half_even, traces
 from .registry import CTES, query
 
 POS = ["traj_num", "position"]
@@ -17,7 +17,7 @@ def c04(spark, sf):
     return cf.token_confidence(fx.candidates(spark, sf), POS).withColumnRenamed("traj_num", "traj_id")
 
 
-@query("C05_confidence_from_probs", "SELECT traj_num, position, round_even(-avg(ln(p + 1e-30)), 3) AS conf FROM cand_probs GROUP BY traj_num, position", "conf")
+@query("C05_confidence_from_probs", f"SELECT traj_num, position, {half_even('-avg(ln(p + 1e-30))')} AS conf FROM cand_probs GROUP BY traj_num, position", "conf")
 def c05(spark, sf):
     sets = en.position_probs(fx.candidates(spark, sf), POS, 4)
     return sets.select(*POS, probs.confidence_from_probs(F.col("top_k_probs")).alias("conf"))
@@ -40,8 +40,8 @@ def c08(spark, sf):
 
 @query(
     "C08_min_conf",
-    """SELECT c.traj_id, coalesce(any_value(w.l), avg(conf)) AS min_conf FROM confs c LEFT JOIN
-    (SELECT traj_id, min(round_even(round(m, 9), 3)) AS l FROM windows GROUP BY traj_id) w ON w.traj_id = c.traj_id GROUP BY c.traj_id""",
+    f"""SELECT c.traj_id, coalesce(any_value(w.l), avg(conf)) AS min_conf FROM confs c LEFT JOIN
+    (SELECT traj_id, min({half_even('m')}) AS l FROM windows GROUP BY traj_id) w ON w.traj_id = c.traj_id GROUP BY c.traj_id""",
     "min_conf",
 )
 def c08b(spark, sf):

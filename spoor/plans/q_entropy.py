@@ -349,7 +349,7 @@ def e23(spark, sf):
 
 @query(
     "E24_grouping_examples",
-    """SELECT traj_id, position, original_entropy, num_groups FROM (SELECT s.traj_id, s.position, s.original_entropy, CAST(s.num_groups AS INT) AS num_groups,
+    """SELECT traj_id, position, round(original_entropy, 9) AS original_entropy, num_groups FROM (SELECT s.traj_id, s.position, s.original_entropy, CAST(s.num_groups AS INT) AS num_groups,
     row_number() OVER (PARTITION BY s.traj_id ORDER BY s.position) AS k FROM sem_rows s
     JOIN (SELECT traj_id, quantile_cont(original_entropy, 0.7) AS cut FROM sem_rows GROUP BY traj_id) c ON c.traj_id = s.traj_id
     WHERE round(s.original_entropy, 9) >= round(c.cut, 9) AND s.num_groups > 1) WHERE k <= 3""",

@@ -18,13 +18,14 @@ _SQL: dict[str, tuple[str, str]] = {}
 CTES: dict[str, str] = dict(fixtures.SQL)  # name -> SQL; may use earlier names
 
 DIGITS = 6
+NUDGE = 1e-9
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles at six digits, so sums in another order compare equal."""
+    """Doubles at six digits, so sums in another order compare equal; the nudge keeps exact ties on one side."""
     return df.select(
         *[
-            (F.round(F.col(f.name), DIGITS) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            (F.round(F.col(f.name) + F.lit(NUDGE), DIGITS) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
             for f in df.schema.fields
         ]
     )
@@ -41,7 +42,7 @@ def oracle(sql: str, doubles: str = "") -> str:
                 need.append(name)
 
     visit(sql)
-    cols = ", ".join(f"CAST(round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS DOUBLE) AS {c}" for c in doubles.split())
+    cols = ", ".join(f"CAST(round(CAST({c} AS DOUBLE) + {NUDGE}, {DIGITS}) + 0.0 AS DOUBLE) AS {c}" for c in doubles.split())
     body = f"SELECT * REPLACE ({cols}) FROM ({sql}) q" if cols else sql
     if not need:
         return body
