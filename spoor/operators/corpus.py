@@ -67,6 +67,16 @@ def sharded_overlap(hits: DataFrame, items: DataFrame, item_key: str = "item_id"
 BLOCK = 50_000  # document vectors held by a task at once
 
 
+def _best_of(ids: np.ndarray, shared):
+    @F.pandas_udf("doc long, score double")
+    def best(v: pd.Series) -> pd.DataFrame:
+        s = np.stack(v.to_numpy()).astype(np.float64) @ shared.value.T
+        at = s.argmax(axis=1)
+        return pd.DataFrame({"doc": ids[at], "score": s[np.arange(len(s)), at]})
+
+    return best
+
+
 def nearest(queries: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """J-10/D-04: best document per query by inner product; equal scores take the smaller id.
 
@@ -87,14 +97,7 @@ def nearest(queries: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFram
             continue
         ids = got["doc_id"].to_numpy()
         shared = queries.sparkSession.sparkContext.broadcast(np.stack(got["embedding"].to_numpy()).astype(np.float64))
-
-        @F.pandas_udf("doc long, score double")
-        def best(v: pd.Series, ids=ids, shared=shared) -> pd.DataFrame:
-            s = np.stack(v.to_numpy()).astype(np.float64) @ shared.value.T
-            at = s.argmax(axis=1)
-            return pd.DataFrame({"doc": ids[at], "score": s[np.arange(len(s)), at]})
-
-        one = queries.withColumn("m", best("embedding")).select("query_id", F.col("m.doc").alias("doc_id"), F.col("m.score").alias("score"))
+        one = queries.withColumn("m", _best_of(ids, shared)("embedding")).select("query_id", F.col("m.doc").alias("doc_id"), F.col("m.score").alias("score"))
         out = one if out is None else out.unionByName(one)
     if out is None:
         return queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("double").alias("score")).limit(0)

@@ -31,8 +31,14 @@ def stage(df: DataFrame) -> DataFrame:
     so it outlives lost executors. Only where no folder is named (local tests)
     is a temporary one set.
     """
-    sc = df.sparkSession.sparkContext
+    work_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
