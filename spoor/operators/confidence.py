@@ -19,8 +19,8 @@ def token_confidence(cands: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def indexed(confs: DataFrame) -> DataFrame:
-    """Dense 0-based index of the tokens that have a confidence."""
-    return numbered(confs, T, [F.col("position")], position_chunk("position"), "i")
+    """Dense 0-based index i of the tokens that have a confidence, and their number n per trace."""
+    return numbered(confs, T, [F.col("position")], position_chunk("position"), "i", total="n")
 
 
 def sized(confs: DataFrame) -> DataFrame:
@@ -50,12 +50,13 @@ def window_means(confs: DataFrame, window: int = 2048, chunk: int | None = None)
     own = position_chunk("i", chunk)
     near_end = F.col("i") % chunk >= chunk - window + 1
     homes = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = confs.select("traj_id", "i", "conf", F.explode(homes).alias("c"))
+    keep = ["n"] if "n" in confs.columns else []
+    rows = confs.select("traj_id", "i", "conf", *keep, F.explode(homes).alias("c"))
     w = W.partitionBy("traj_id", "c").orderBy("i")
     rows = rows.withColumn("s", F.sum("conf").over(w.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumn("m", (F.col("s") - F.coalesce(F.lag("s", window).over(w), F.lit(0.0))) / window)
     full = (F.col("i") >= window - 1) & (own == F.col("c"))
-    return rows.filter(full).select("traj_id", "i", F.col("m").alias("window_mean"))
+    return rows.filter(full).select("traj_id", "i", *keep, F.col("m").alias("window_mean"))
 
 
 def least_grouped(confs: DataFrame, window: int = 2048) -> DataFrame:
@@ -72,12 +73,15 @@ def _or_mean(confs: DataFrame, got: DataFrame, col: str, name: str) -> DataFrame
 
 def bottom_windows(confs: DataFrame, window: int = 2048, share: float = 0.1) -> DataFrame:
     """C-09: mean of the lowest max(1, floor(m share)) window means."""
-    m = with_group(window_means(confs, window), T, m=F.count(F.lit(1)))
-    m = ranked(m, T, "window_mean", [F.col("i")], "r")
-    low = m.filter(F.col("r") < F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(share))))
+    low = _lowest_windows(confs, window, share)
     return _or_mean(confs, low.groupBy(*T).agg(F.avg("window_mean").alias("low")), "low", "bottom_window_confidence")
 
 
+def _lowest_windows(confs: DataFrame, window: int, share: float) -> DataFrame:
+    m = ranked(window_means(confs, window), T, "window_mean", [F.col("i")], "r", total="m")
+    return m.filter(F.col("r") < F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(share))))
+
+
 def min_window(confs: DataFrame, window: int = 2048) -> DataFrame:
     """C-10."""
     m = window_means(confs, window).groupBy(*T).agg(F.min("window_mean").alias("low"))
@@ -86,15 +90,13 @@ def min_window(confs: DataFrame, window: int = 2048) -> DataFrame:
 
 def all_confidences(confs: DataFrame, window: int = 2048, tail: int = 2048, share: float = 0.1) -> DataFrame:
     """C-11: the four confidences per trace; window means are ranked once for both window measures."""
-    base = sized(confs).groupBy(*T).agg(
+    confs = confs if "n" in confs.columns else sized(confs)
+    base = confs.groupBy(*T).agg(
         F.count(F.lit(1)).alias("num_tokens"),
         F.avg("conf").alias("mean_confidence"),
         F.avg(F.when(F.col("i") >= F.col("n") - tail, F.col("conf"))).alias("tail_confidence"),
     )
-    m = with_group(window_means(confs, window), T, m=F.count(F.lit(1)))
-    m = ranked(m, T, "window_mean", [F.col("i")], "r")
-    low = m.filter(F.col("r") < F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(share))))
-    low = low.groupBy(*T).agg(F.avg("window_mean").alias("b"), F.min("window_mean").alias("l"))
+    low = _lowest_windows(confs, window, share).groupBy(*T).agg(F.avg("window_mean").alias("b"), F.min("window_mean").alias("l"))
     return base.join(low, T, "left").select(
         *T,
         "num_tokens",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
 from ..functions.probs import band
-from .spread import CHUNK, group_percentiles, position_chunk, ranked, running, value_bucket, with_group
+from .spread import CHUNK, group_percentiles, position_chunk, ranked, running, value_bucket
 
 TOK = ["traj_id"]
 
@@ -48,8 +48,7 @@ def position_probs(cands: DataFrame, keys: Sequence[str], k: int = 20) -> DataFr
 def banded(tokens: DataFrame, keys: Sequence[str] = ("traj_id",)) -> DataFrame:
     """E-03: rank percentile in the trajectory (highest entropy first, earlier position wins) and band."""
     keys = list(keys)
-    valid = ranked(tokens.filter("entropy IS NOT NULL"), keys, "entropy", [F.col("position")], "rank", descending=True)
-    valid = with_group(valid, keys, n_valid=F.count(F.lit(1)))
+    valid = ranked(tokens.filter("entropy IS NOT NULL"), keys, "entropy", [F.col("position")], "rank", True, "n_valid")
     valid = valid.withColumn("percentile", F.col("rank") / F.col("n_valid") * 100)
     nulls = tokens.filter("entropy IS NULL").withColumn("percentile", F.lit(None).cast("double"))
     out = valid.drop("rank", "n_valid").unionByName(nulls)

@@ -196,7 +196,8 @@ def bootstrap(results: DataFrame, by: str, id_col: str, reps: int = 100) -> Data
     w = F.aggregate(F.array(*[F.lit(p) for p in POISSON]), F.lit(0), lambda a, p: a + F.when(u >= p, 1).otherwise(0))
     rows = rows.withColumn("w", w)
     per = rows.groupBy(by, "rep").agg((F.sum(F.when(F.col("is_correct"), F.col("w")).otherwise(0)) / F.nullif(F.sum("w"), F.lit(0))).alias("acc"))
-    q = group_percentiles(per, [by], "acc", {"lower": 0.025, "median": 0.5, "upper": 0.975})
+    at = lambda p: F.percentile("acc", F.lit(p))  # noqa: E731 - `reps` values per group
+    q = per.groupBy(by).agg(at(0.025).alias("lower"), at(0.5).alias("median"), at(0.975).alias("upper"))
     return q.withColumn("error_low", F.col("median") - F.col("lower")).withColumn("error_high", F.col("upper") - F.col("median"))
 
 

@@ -41,7 +41,7 @@ def _cuts(tokens: DataFrame, combos: list[Combo]) -> DataFrame:
 
 
 def phases(tokens: DataFrame, combos: Iterable[Combo] = ((5.0, 50.0, 3),), chunk: int = CHUNK) -> DataFrame:
-    """H-02/H-10: rows (traj_id, top, bottom, cons, start, duration), all parameter sets in one job.
+    """H-02/H-10: rows (traj_id, top, bottom, cons, start, duration, closed, start_n), all parameter sets in one job.
 
     Where high > low a token is never both, and a phase is a gaps-and-islands
     problem; other cuts (ties, top + bottom > 100) go through an ordered scan.
@@ -65,7 +65,9 @@ _K = ["traj_id", "bottom", "cons"]
 def _labelled(toks: DataFrame, cuts: DataFrame) -> DataFrame:
     """Tokens with n_idx (1-based over non-null tokens), seg (closings before) and is_end."""
     kc = [*_K, "chunk"]
-    rows = toks.join(per_chunk(cuts, toks, ["traj_id"], "chunk"), ["traj_id", "chunk"])
+    here = per_chunk(cuts, toks, ["traj_id"], "chunk")
+    # `local` is read by both branches below with the same columns, so its exchange is reused
+    rows = toks.join(here.drop("tops"), ["traj_id", "chunk"])
     w = W.partitionBy("traj_id", "chunk", "bottom", "cons").orderBy("position")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
     local = (
@@ -92,6 +94,7 @@ def _labelled(toks: DataFrame, cuts: DataFrame) -> DataFrame:
         .withColumn("late_ends", F.col("ends") + F.col("late").cast("int"))
         .withColumn("seg_before", F.coalesce(F.sum("late_ends").over(prev), F.lit(0)))
         .select(*kc, "n_before", "carry", "late", "seg_before")
+        .join(cuts.select(*_K, "tops"), _K)
     )
     late_at = F.col("cons") - F.col("carry")
     return (
@@ -124,7 +127,7 @@ def _islands(toks: DataFrame, cuts: DataFrame, n_tops: int) -> DataFrame:
     return (
         segs.select(*_K, "last_n", "closed", F.inline(F.array(*each)))
         .filter(F.col("start").isNotNull())
-        .select("traj_id", "top", "bottom", "cons", "start", length.cast("long").alias("duration"), "closed")
+        .select("traj_id", "top", "bottom", "cons", "start", length.cast("long").alias("duration"), "closed", F.col("n").alias("start_n"))
     )
 
 
@@ -188,19 +191,23 @@ def _scanned(toks: DataFrame, cuts: DataFrame) -> DataFrame:
             pdf["entropy"].to_numpy(), h["high"], h["low"], int(h["cons"]), int(h["entry"])
         )
         base = {k: h[k] for k in [*key, "chunk"]}
-        out = [{**base, "kind": "whole", "start": int(pos[b]), "n": d, "closed": True} for b, d in spans]
+        out = [{**base, "kind": "whole", "start": int(pos[b]), "n": d, "closed": True, "l_n": b + 1} for b, d in spans]
         closes = carried is not None
-        out.append({**base, "kind": "in", "start": None, "n": carried if closes else len(pos), "closed": closes})
+        out.append({**base, "kind": "in", "start": None, "n": carried if closes else len(pos), "closed": closes, "l_n": None})
         if begin is not None:
-            out.append({**base, "kind": "open", "start": int(pos[begin]), "n": length, "closed": False})
+            out.append({**base, "kind": "open", "start": int(pos[begin]), "n": length, "closed": False, "l_n": begin + 1})
         return pd.DataFrame(out)
 
     parts = (
         rows.join(entries, [*key, "chunk"])
         .groupBy(*key, "chunk")
-        .applyInPandas(emit, f"{types}, kind string, start long, n long, closed boolean")
+        .applyInPandas(emit, f"{types}, kind string, start long, n long, closed boolean, l_n long")
     )
-    whole = parts.filter("kind = 'whole'").select(*key, "start", F.col("n").alias("duration"), "closed")
+    before = W.partitionBy("traj_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    sizes = toks.groupBy("traj_id", "chunk").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.select("traj_id", "chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("n_before"))
+    parts = parts.join(sizes, ["traj_id", "chunk"]).withColumn("start_n", F.col("n_before") + F.col("l_n"))
+    whole = parts.filter("kind = 'whole'").select(*key, "start", F.col("n").alias("duration"), "closed", "start_n")
     # A phase open at a chunk's end runs through later chunks until one closes it.
     after = W.partitionBy(*key).orderBy("chunk")
     border = (
@@ -210,6 +217,7 @@ def _scanned(toks: DataFrame, cuts: DataFrame) -> DataFrame:
             F.max(F.when(F.col("kind") == "in", F.col("n"))).alias("n_in"),
             F.max("closed").alias("closes"),
             F.max("start").alias("start"),
+            F.max("start_n").alias("start_n"),
             F.max(F.when(F.col("kind") == "open", F.col("n"))).alias("n_open"),
         )
         .withColumn("run", F.sum("n_in").over(after.rowsBetween(W.unboundedPreceding, 0)))
@@ -221,7 +229,7 @@ def _scanned(toks: DataFrame, cuts: DataFrame) -> DataFrame:
     )
     tail = F.coalesce(F.col("end_run") - F.col("cons"), F.col("last_run")) - F.col("run")
     crossing = border.filter(F.col("start").isNotNull()).select(
-        *key, "start", (F.col("n_open") + tail).alias("duration"), F.col("end_run").isNotNull().alias("closed")
+        *key, "start", (F.col("n_open") + tail).alias("duration"), F.col("end_run").isNotNull().alias("closed"), "start_n"
     )
     return whole.unionByName(crossing).withColumn("start", F.col("start").cast("int"))
 
@@ -233,14 +241,14 @@ def running_durations(
     key, order, c = ["traj_id"], [F.col("position")], position_chunk("position", chunk)
     # tokens a phase covers before its closing one
     span = F.col("duration") + F.when(F.col("closed"), F.col("cons") - 1).otherwise(0)
-    starts = phases(tokens, [(top, bottom, cons)], chunk).select(
-        "traj_id", F.col("start").alias("position"), span.alias("span"), position_chunk("start", chunk).alias("chunk")
+    starts = stage(phases(tokens, [(top, bottom, cons)], chunk)).select(
+        "traj_id", F.col("start").alias("position"), "start_n", span.alias("span"), position_chunk("start", chunk).alias("chunk")
     )
     toks = tokens.select("traj_id", "position", "entropy", c.alias("chunk"))
     rows = toks.join(starts, ["traj_id", "chunk", "position"], "left")
-    rows = running(rows, key, order, F.col("chunk"), sums={"n_idx": F.col("entropy").isNotNull().cast("long")})
-    began = F.when(F.col("span").isNotNull(), F.struct(F.col("n_idx").alias("n"), "span"))
-    rows = running(rows, key, order, F.col("chunk"), maxes={"cur": began})
+    began = F.when(F.col("span").isNotNull(), F.struct(F.col("start_n").alias("n"), "span"))
+    counted = F.col("entropy").isNotNull().cast("long")
+    rows = running(rows, key, order, F.col("chunk"), sums={"n_idx": counted}, maxes={"cur": began})
     so_far = F.col("n_idx") - F.col("cur.n") + 1
     inside = F.col("entropy").isNotNull() & (so_far <= F.col("cur.span"))
     return rows.select("traj_id", "position", F.when(inside, so_far).otherwise(F.lit(0)).cast("long").alias("duration"))

@@ -42,8 +42,12 @@ def numbered(
     chunk: Column,
     name: str,
     descending_chunk: bool = False,
+    total: str | None = None,
 ) -> DataFrame:
-    """0-based row number per group; `chunk` must be monotone in the first order column."""
+    """0-based row number per group; `chunk` must be monotone in the first order column.
+
+    `total` names a column for the group's size, which the chunk sizes give for free.
+    """
     keys = list(keys)
     base = df.withColumn(_C, -chunk if descending_chunk else chunk)
     local = base.withColumn(name, F.row_number().over(W.partitionBy(*keys, _C).orderBy(*order)) - 1)
@@ -52,17 +56,25 @@ def numbered(
         base.groupBy(*keys, _C)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .drop("__n")
     )
-    return local.join(sizes, [*keys, _C]).withColumn(name, (F.col(name) + F.col("__off")).cast("long")).drop(_C, "__off")
+    if total:
+        sizes = sizes.withColumn(total, F.sum("__n").over(W.partitionBy(*keys)))
+    out = local.join(sizes.drop("__n"), [*keys, _C])
+    return out.withColumn(name, (F.col(name) + F.col("__off")).cast("long")).drop(_C, "__off")
 
 
 def ranked(
-    df: DataFrame, keys: Sequence[str], value: str, ties: Sequence[Column], name: str, descending: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    ties: Sequence[Column],
+    name: str,
+    descending: bool = False,
+    total: str | None = None,
 ) -> DataFrame:
     """0-based rank by a numeric column with explicit tie order."""
     first = F.col(value).desc() if descending else F.col(value).asc()
-    return numbered(df, keys, [first, *ties], value_bucket(value), name, descending_chunk=descending)
+    return numbered(df, keys, [first, *ties], value_bucket(value), name, descending, total)
 
 
 def running(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
+from ..session import stage
 from .spread import CHUNK, position_chunk, running
 
 
@@ -25,7 +26,7 @@ def triggers(tokens: DataFrame, max_search: int = 1000, chunk: int = CHUNK) -> D
     keep = F.col("entropy").isNotNull() & (F.col("color") != "black") & ~tok.is_punctuation_or_digit(F.col("token"))
     return rows.filter(keep).select(
         "traj_id",
-        "position",
+        F.col("position").cast("long").alias("position"),
         "token",
         "entropy",
         F.when(reach, -F.col("neg_end")).otherwise(F.col("position")).cast("long").alias("boundary"),
@@ -40,7 +41,7 @@ def boundaries(tokens: DataFrame, min_distance: int = 100, max_search: int = 100
     reduced to a map "earliest allowed position on entry -> on exit"; the short
     maps are composed per trajectory, then every chunk walks from its own entry.
     """
-    cand = triggers(tokens, max_search, chunk)
+    cand = stage(triggers(tokens, max_search, chunk))  # a few percent of the tokens, read twice
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
@@ -55,7 +56,10 @@ def boundaries(tokens: DataFrame, min_distance: int = 100, max_search: int = 100
             [{"traj_id": h["traj_id"], "chunk": h["chunk"], "upto": [at[i] for i in last], "exit": [out[i] for i in last]}]
         )
 
-    maps = cand.groupBy("traj_id", "chunk").applyInPandas(
+    # Only trajectories longer than a chunk need maps; all others enter their one chunk free.
+    span = cand.groupBy("traj_id").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
+    several = cand.join(span.filter("lo < hi"), "traj_id", "left_semi")
+    maps = several.groupBy("traj_id", "chunk").applyInPandas(
         exits, "traj_id string, chunk long, upto array<long>, exit array<long>"
     )
     entry = F.aggregate(
@@ -73,19 +77,21 @@ def boundaries(tokens: DataFrame, min_distance: int = 100, max_search: int = 100
     )
     entries = maps.groupBy("traj_id").agg(entry.alias("o")).select("traj_id", F.inline("o"))
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position")
-        allowed, keep = int(pdf["entry"].iloc[0]), []
-        for p, b in zip(pdf["position"], pdf["boundary"]):
-            ok = p >= allowed
-            keep.append(ok)
-            if ok:
-                allowed = b + min_distance
-        return pdf[keep][["traj_id", "position", "token", "entropy", "boundary"]]
-
-    got = cand.join(entries, ["traj_id", "chunk"]).groupBy("traj_id", "chunk").applyInPandas(
-        walk, "traj_id string, position long, token string, entropy double, boundary long"
+    # A chunk bounds the list that is walked, whatever the trajectory's length.
+    item = F.struct("position", "boundary", "token", "entropy")
+    lists = cand.groupBy("traj_id", "chunk").agg(F.array_sort(F.collect_list(item)).alias("c"))
+    lists = lists.join(entries, ["traj_id", "chunk"], "left")
+    start = F.struct(
+        F.coalesce("entry", F.lit(-1).cast("long")).alias("allowed"),
+        F.expr("cast(array() as array<struct<position:bigint,boundary:bigint,token:string,entropy:double>>)").alias("out"),
     )
+
+    def walk(s: Column, x: Column) -> Column:
+        ok = x["position"] >= s["allowed"]
+        kept = F.struct((x["boundary"] + min_distance).alias("allowed"), F.concat(s["out"], F.array(x)).alias("out"))
+        return F.when(ok, kept).otherwise(s)
+
+    got = lists.select("traj_id", F.inline(F.aggregate("c", start, walk, lambda s: s["out"])))
     return got.select(
         "traj_id",
         "boundary",

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .spread import group_percentiles, ranked, with_group
 
 P = ["problem_id"]
@@ -206,8 +207,7 @@ def centroid_vote(rows: DataFrame, percent: float = 30.0) -> DataFrame:
     """V-11/V-12: the lowest max(1, floor(n X / 100)) centroids vote, nulls included; ties to the smallest
     centroid, then its trajectory. Problems without any centroid fall back to a majority of all rows."""
     keyed = rows.withColumn("key", answer_key(F.col("extracted_answer")))
-    valid = with_group(keyed.filter("centroid IS NOT NULL"), P, n=F.count(F.lit(1)))
-    valid = ranked(valid, P, "centroid", [F.col("traj_idx")], "r")
+    valid = ranked(keyed.filter("centroid IS NOT NULL"), P, "centroid", [F.col("traj_idx")], "r", total="n")
     voters = valid.filter(F.col("r") < F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(percent) / 100)))
     per = voters.groupBy(*P, "key").agg(F.count(F.lit(1)).alias("votes"), F.min(F.struct("centroid", "traj_idx")).alias("m"))
     win = per.groupBy(*P).agg(_best((-F.col("votes")).alias("v"), "m", "key").alias("b"))
@@ -260,7 +260,8 @@ def weighted_centroid_vote(
 ) -> DataFrame:
     """V-14: largest total weight (first seen on ties), then the winner's smallest centroid."""
     valid = rows.filter("centroid IS NOT NULL").withColumn("key", answer_key(F.col("extracted_answer")))
-    valid = vote_weights(outliers(valid, outlier_method, threshold, num_std), weight_method, penalty, temperature)
+    flagged = stage(outliers(valid, outlier_method, threshold, num_std))  # read once per pass of the weights
+    valid = vote_weights(flagged, weight_method, penalty, temperature)
     per = valid.groupBy(*P, "key").agg(
         F.round(F.sum("weight"), 12).alias("w"), F.min("traj_idx").alias("f"), F.min(F.struct("centroid", "traj_idx")).alias("m")
     )
@@ -363,8 +364,7 @@ def best_answered(rows: DataFrame, measure: str, n: int) -> DataFrame:
 
 def borda(rows: DataFrame, measure: str, n: int, power: float = 0.5) -> DataFrame:
     """V-22: points (N - rank)^power by confidence rank, summed per answer onto its first appearance."""
-    src = with_group(rows.filter(F.col("traj_idx") < n), P, m=F.count(F.lit(1)))
-    src = ranked(src, P, measure, [F.col("traj_idx")], "r", descending=True)
+    src = ranked(rows.filter(F.col("traj_idx") < n), P, measure, [F.col("traj_idx")], "r", True, "m")
     src = src.withColumn("points", F.pow(F.col("m") - F.col("r"), F.lit(float(power))))
     votes = tally(src.filter("extracted_answer IS NOT NULL").withColumn("key", F.col("extracted_answer")), F.col("points"))
     win = _winner(votes.withColumn("votes", F.round("votes", 9)))

@@ -175,12 +175,16 @@ def _sets(spark, sf):
     return sets.join(ent, POS).withColumnRenamed("traj_num", "traj_id").withColumn("token", token)
 
 
+def candidate_sets(spark, sf):
+    return shared("candidate_sets", spark, sf, lambda: _sets(spark, sf))
+
+
 def _emb(spark, sf):
     return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding")
 
 
 def semantics(spark, sf):
-    return shared("semantics", spark, sf, lambda: sem.semantic_entropy(_sets(spark, sf), _emb(spark, sf), THRESHOLD))
+    return shared("semantics", spark, sf, lambda: sem.semantic_entropy(candidate_sets(spark, sf), _emb(spark, sf), THRESHOLD))
 
 
 CTES["sem_nodes"] = "SELECT c.*, e.embedding, position % 5 = 0 AS is_math FROM cand_probs c LEFT JOIN embeddings e ON e.vec_id = c.token_id"
@@ -206,7 +210,7 @@ CTES["sem_rows"] = """SELECT traj_num AS traj_id, position, any_value(is_math) A
     "original_entropy semantic_entropy entropy_reduction",
 )
 def e11(spark, sf):
-    return sem.semantic_entropy(_sets(spark, sf), _emb(spark, sf), THRESHOLD).drop("token")
+    return sem.semantic_entropy(candidate_sets(spark, sf), _emb(spark, sf), THRESHOLD).drop("token")
 
 
 @query(

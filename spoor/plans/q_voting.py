@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import centroid as ce
 from ..operators import voting as vo
+from ..session import stage
 from . import fixtures as fx
 from .inputs import traces, trajectories
 from .q_confidence import online
@@ -71,8 +72,8 @@ CTES["thr_picks"] = """SELECT * FROM (SELECT g.threshold, c.*, c.n_c > 1 AND c.m
 )
 def v04(spark, sf):
     """From tokens to accuracy: thresholds, phases, centroids, filter search."""
-    rows = fx.evals(spark, sf).join(ce.centroid_table(fx.tokens(spark, sf)).select("traj_id", "centroid"), "traj_id", "left")
-    return vo.threshold_search(rows)
+    c = stage(ce.centroid_table(fx.tokens(spark, sf)).select("traj_id", "centroid"))  # one row per trajectory
+    return vo.threshold_search(fx.evals(spark, sf).join(c, "traj_id", "left"))
 
 
 @query("V04_held_out_search")
@@ -414,7 +415,7 @@ def v29(spark, sf):
     rows = with_group(rows, ["problem_id"], m=F.avg("centroid"), s=F.stddev_pop("centroid")).crossJoin(F.broadcast(grid))
     far = (F.col("s") > 0) & (F.abs(F.col("centroid") - F.col("m")) > F.col("num_std") * F.col("s"))
     key = ["select_percent", "num_std", "problem_id"]
-    rows = ranked(with_group(rows.filter(~far), key, n=F.count(F.lit(1))), key, "centroid", [F.col("traj_idx")], "r")
+    rows = ranked(rows.filter(~far), key, "centroid", [F.col("traj_idx")], "r", total="n")
     rows = rows.filter(F.col("r") < F.greatest(F.lit(1), F.floor(F.col("n") * F.col("select_percent") / 100)))
     per = rows.groupBy(*key, "key").agg(F.count(F.lit(1)).alias("v"), F.min(F.struct("centroid", "traj_idx", "is_correct")).alias("b"))
     win = per.groupBy(*key).agg(F.min(F.struct((-F.col("v")).alias("v"), "b")).alias("w"))

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
 from . import fixtures
+from .fixtures import forget, shared  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -63,14 +63,3 @@ def query(name: str, sql: str | None = None, doubles: str = "") -> Callable[[Que
 
 def oracles() -> dict[str, str]:
     return {name: oracle(sql, doubles) for name, (sql, doubles) in _SQL.items()}
-
-
-_staged: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def shared(name: str, spark: SparkSession, sf: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table several queries read, materialised once per application and input folder (S-12)."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _staged:
-        _staged[key] = stage(build())
-    return _staged[key]

@@ -44,7 +44,7 @@ def brute(ent, top, bottom, cons):
 def trajectories():
     rng = random.Random(7)
     t = {}
-    for i in range(60):
+    for i in range(30):
         n = rng.choice([1, 2, 5, 30, 80])
         kind = rng.random()
         if kind < 0.3:
@@ -68,10 +68,11 @@ def test_phases_and_running_durations(spark):
     df = frame(spark, t).cache()
     for chunk in (7, 65536):
         got = {}
-        for r in phases(df, COMBOS, chunk).collect():
+        combos = COMBOS[:3] if chunk == 7 else COMBOS
+        for r in phases(df, combos, chunk).collect():
             got.setdefault((r.traj_id, r.top, r.bottom, r.cons), []).append((r.start, r.duration))
         for k, v in t.items():
-            for c in COMBOS:
+            for c in combos:
                 assert sorted(got.get((k, *c), [])) == brute(v, *c)[0], (k, c, chunk, v)
     for c in (COMBOS[0], COMBOS[3]):
         got = {(r.traj_id, r.position): r.duration for r in running_durations(df, *c, chunk=7).collect()}
