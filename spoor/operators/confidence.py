@@ -24,7 +24,7 @@ def indexed(confs: DataFrame) -> DataFrame:
 
 
 def sized(confs: DataFrame) -> DataFrame:
-    return with_group(confs, T, n=F.count(F.lit(1)))
+    return confs if "n" in confs.columns else with_group(confs, T, n=F.count(F.lit(1)))
 
 
 def mean_confidence(confs: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def min_window(confs: DataFrame, window: int = 2048) -> DataFrame:
 
 def all_confidences(confs: DataFrame, window: int = 2048, tail: int = 2048, share: float = 0.1) -> DataFrame:
     """C-11: the four confidences per trace; window means are ranked once for both window measures."""
-    confs = confs if "n" in confs.columns else sized(confs)
+    confs = sized(confs)
     base = confs.groupBy(*T).agg(
         F.count(F.lit(1)).alias("num_tokens"),
         F.avg("conf").alias("mean_confidence"),

@@ -17,9 +17,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, rf"{WS}+"), lambda w: w != "")
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """D-01: distinct word n-grams of a text; shorter texts have none."""
-    w = words(text)
+def ngrams(w: Column, n: int) -> Column:
+    """D-01: distinct n-grams of a column of words; shorter lists have none.
+
+    `w` must be a column and not an expression: the lambda would split the text anew for every n-gram.
+    """
     grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
     return F.when(F.size(w) >= n, F.array_distinct(grams)).otherwise(F.expr("cast(array() as array<string>)"))
 
@@ -30,7 +32,7 @@ def prompt_text(text: Column) -> Column:
 
 
 def gram_rows(df: DataFrame, key: str, text: Column, n: int) -> DataFrame:
-    return df.select(key, F.explode(ngrams(text, n)).alias("ngram"))
+    return df.select(key, words(text).alias("words")).select(key, F.explode(ngrams(F.col("words"), n)).alias("ngram"))
 
 
 def shared_grams(items: DataFrame, docs: DataFrame, n: int, item_key: str = "item_id", text: str = "text") -> DataFrame:
@@ -41,7 +43,7 @@ def shared_grams(items: DataFrame, docs: DataFrame, n: int, item_key: str = "ite
     n-grams without a chance are removed by the join on the far smaller item side.
     """
     mine = gram_rows(items, item_key, prompt_text(F.col(text)), n)
-    theirs = docs.select(F.explode(ngrams(F.col("text"), n)).alias("ngram"))
+    theirs = docs.select(words(F.col("text")).alias("words")).select(F.explode(ngrams(F.col("words"), n)).alias("ngram"))
     hits = theirs.join(mine.select("ngram").distinct(), "ngram", "left_semi").distinct()
     return mine.join(hits, "ngram", "left_semi")
 

@@ -35,7 +35,7 @@ def c07(spark, sf):
 
 @query("C08_window_means", "SELECT traj_id, i, m AS window_mean FROM windows", "window_mean")
 def c08(spark, sf):
-    return cf.window_means(confs(spark, sf), WINDOW)
+    return cf.window_means(confs(spark, sf), WINDOW).select("traj_id", "i", "window_mean")
 
 
 @query(

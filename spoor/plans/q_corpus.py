@@ -12,8 +12,10 @@ _WORDS = r"list_filter(string_split_regex({t}, '[\s\p{{Z}}]+'), lambda w: w <> '
 
 
 def _grams(key, text, table, n=N):
-    words = _WORDS.format(t=text)
-    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS ngram FROM (SELECT {key}, w, unnest(range(1, CAST(len(w) - {n} + 2 AS BIGINT))) AS i FROM (SELECT {key}, {words} AS w FROM {table}))"""
+    after = ", ".join(f"lead(w, {j}) OVER d" for j in range(1, n))
+    return f"""SELECT DISTINCT {key}, ngram FROM (SELECT {key}, concat_ws(' ', w, {after}) AS ngram, lead(w, {n - 1}) OVER d AS last_word
+      FROM (SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT {key}, {_WORDS.format(t=text)} AS ws FROM {table}))
+      WINDOW d AS (PARTITION BY {key} ORDER BY i)) WHERE last_word IS NOT NULL"""
 
 
 CTES["doc_grams"] = _grams("doc_id", "text", "documents")
@@ -106,11 +108,11 @@ def d06(spark, sf):
     return co.best_query(matches(spark, sf).withColumn("score", F.round("score", 9)), 0.2)
 
 
-CTES["code_tasks"] = "SELECT d.doc_id AS task_id, d.n_chars, d.doc_id % 5 AS n_libs, d.doc_id % 100 AS solve_rate, d.text FROM documents d"
+CTES["code_tasks"] = "SELECT d.doc_id AS task_id, d.n_chars, CAST(floor(d.doc_id / 10.0) AS BIGINT) % 5 AS n_libs, d.doc_id % 100 AS solve_rate, d.text FROM documents d"
 
 
 def code_tasks(spark, sf):
-    libs = F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: i <= F.col("doc_id") % 5), lambda i: i.cast("string"))
+    libs = F.transform(F.filter(F.sequence(F.lit(1), F.lit(4)), lambda i: i <= F.floor(F.col("doc_id") / 10) % 5), lambda i: i.cast("string"))
     return docs(spark, sf).select(F.col("doc_id").alias("task_id"), libs.alias("libs"), F.col("text").alias("solution"), (F.col("doc_id") % 100).alias("solve_rate"))
 
 
