@@ -57,7 +57,13 @@ def half_even(x: str) -> str:
     return f"({q} + CASE WHEN {r} > 500000 OR ({r} = 500000 AND {q} % 2 = 1) THEN 1 ELSE 0 END) / 1000.0"
 
 
-def _scan_sql(combos) -> str:
+_FOUND = """SELECT traj_id, top, bottom, cons, o_start AS start, CAST(o_len AS BIGINT) AS duration FROM scan WHERE o_start >= 0
+UNION ALL
+SELECT traj_id, top, bottom, cons, start, CAST(len AS BIGINT) FROM
+  (SELECT *, row_number() OVER (PARTITION BY traj_id, top, bottom, cons ORDER BY n DESC) AS r FROM scan) e WHERE r = 1 AND inside"""
+
+
+def _scan_sql(combos, tail: str | None = None) -> str:
     """The phase rule as a recursive scan, one token of every trajectory per step."""
     grid = ", ".join(f"({t}, {b}, {c})" for t, b, c in combos)
     cuts = "CASE top " + " ".join(f"WHEN {t} THEN quantile_cont(entropy, {(100 - t) / 100})" for t in sorted({x[0] for x in combos}))
@@ -80,10 +86,7 @@ scan(traj_id, top, bottom, cons, high, low, n, inside, start, len, lows, o_start
         FROM (SELECT s0.* EXCLUDE (n), s0.n AS n0, CASE WHEN s0.inside AND v0.entropy <= s0.low THEN s0.lows + 1 ELSE 0 END AS l2
               FROM scan s0 JOIN valid v0 ON v0.traj_id = s0.traj_id AND v0.n = s0.n + 1) s
         JOIN valid v ON v.traj_id = s.traj_id AND v.n = s.n0 + 1) z)
-SELECT traj_id, top, bottom, cons, o_start AS start, CAST(o_len AS BIGINT) AS duration FROM scan WHERE o_start >= 0
-UNION ALL
-SELECT traj_id, top, bottom, cons, start, CAST(len AS BIGINT) FROM
-  (SELECT *, row_number() OVER (PARTITION BY traj_id, top, bottom, cons ORDER BY n DESC) AS r FROM scan) e WHERE r = 1 AND inside"""
+{tail or _FOUND}"""
 
 
 def centroid_sql(found: str) -> str:
@@ -103,6 +106,7 @@ def centroid_sql(found: str) -> str:
 
 
 CTES["found_phases"] = _scan_sql([(5.0, 50.0, 3)])
+CTES["scan_rows"] = _scan_sql([(5.0, 50.0, 3)], "SELECT traj_id, n, len FROM scan WHERE n > 0")
 CTES["wide_phases"] = _scan_sql([(30.0, 80.0, 2)])
 CTES["swept_phases"] = _scan_sql(SWEEP)
 CTES["centroid_rows"] = centroid_sql("found_phases")

@@ -107,13 +107,9 @@ def h11(spark, sf):
     return hep.unionByName(raw)
 
 
-CTES["running_len"] = """SELECT t.traj_id, t.position, CAST(coalesce(max(CASE WHEN t.entropy IS NOT NULL AND t.n_idx - s.n_idx + 1 <= p.duration + p.tail THEN t.n_idx - s.n_idx + 1 END), 0) AS BIGINT) AS duration FROM
+CTES["running_len"] = """SELECT t.traj_id, t.position, CAST(CASE WHEN t.entropy IS NULL THEN 0 ELSE s.len END AS BIGINT) AS duration FROM
   (SELECT *, count(entropy) OVER (PARTITION BY traj_id ORDER BY position) AS n_idx FROM tokens) t
-  LEFT JOIN (SELECT f.*, CASE WHEN n.n - c.n_idx + 1 = f.duration THEN 0 ELSE 2 END AS tail FROM found_phases f
-      JOIN (SELECT traj_id, position, count(entropy) OVER (PARTITION BY traj_id ORDER BY position) AS n_idx FROM tokens) c ON c.traj_id = f.traj_id AND c.position = f.start
-      JOIN (SELECT traj_id, count(entropy) AS n FROM tokens GROUP BY traj_id) n ON n.traj_id = f.traj_id) p ON p.traj_id = t.traj_id AND p.start <= t.position
-  LEFT JOIN (SELECT traj_id, position, count(entropy) OVER (PARTITION BY traj_id ORDER BY position) AS n_idx FROM tokens) s ON s.traj_id = p.traj_id AND s.position = p.start
-  GROUP BY t.traj_id, t.position"""
+  LEFT JOIN scan_rows s ON s.traj_id = t.traj_id AND s.n = t.n_idx"""
 
 
 def _running(spark, sf):
@@ -125,10 +121,9 @@ def h12(spark, sf):
     return ph.running_durations(fx.tokens(spark, sf))
 
 
-CTES["curves"] = """SELECT l.traj_id, g.t, a.duration + (b.duration - a.duration) * (g.t * (l.n - 1) / 200.0 - floor(g.t * (l.n - 1) / 200.0)) AS value
-  FROM (SELECT traj_id, count(*) AS n FROM tokens GROUP BY traj_id) l CROSS JOIN (SELECT CAST(range AS INT) AS t FROM range(201)) g
-  JOIN running_len a ON a.traj_id = l.traj_id AND a.position = CAST(floor(g.t * (l.n - 1) / 200.0) AS INT)
-  JOIN running_len b ON b.traj_id = l.traj_id AND b.position = CAST(ceil(g.t * (l.n - 1) / 200.0) AS INT)"""
+CTES["curves"] = """SELECT traj_id, t, a + (b - a) * (x - floor(x)) AS value FROM (SELECT traj_id, t, t * (n - 1) / 200.0 AS x, position, a, b FROM
+  (SELECT traj_id, position, duration AS a, coalesce(lead(duration) OVER (PARTITION BY traj_id ORDER BY position), duration) AS b, count(*) OVER (PARTITION BY traj_id) AS n FROM running_len),
+  (SELECT CAST(range AS INT) AS t FROM range(201))) WHERE position = CAST(floor(x) AS INT)"""
 CTES["mean_curve"] = "SELECT is_correct, t, avg(value) AS mean_duration FROM curves c JOIN evals e ON e.traj_id = c.traj_id GROUP BY is_correct, t"
 
 
