@@ -193,7 +193,8 @@ def bootstrap(results: DataFrame, by: str, id_col: str, reps: int = 100) -> Data
     rows = results.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     h = F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col(id_col).cast("string")))
     u = F.conv(F.substr(h, F.lit(1), F.lit(8)), 16, 10).cast("double") / 4294967296.0
-    w = F.aggregate(F.array(*[F.lit(p) for p in POISSON]), F.lit(0), lambda a, p: a + F.when(u >= p, 1).otherwise(0))
+    rows = rows.withColumn("u", u)
+    w = sum((F.when(F.col("u") >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
     rows = rows.withColumn("w", w)
     per = rows.groupBy(by, "rep").agg((F.sum(F.when(F.col("is_correct"), F.col("w")).otherwise(0)) / F.nullif(F.sum("w"), F.lit(0))).alias("acc"))
     at = lambda p: F.percentile("acc", F.lit(p))  # noqa: E731 - `reps` values per group
