@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_dir
-from . import simhash, tokenfile
+from . import chat, multiset, simhash, tokenfile
 from .catalog import query
 from .common import table
 
@@ -28,3 +28,15 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{work_dir(spark)}/ids-{uuid.uuid4().hex}"
     tokenfile.write_ids(table(spark, sf, "documents"), folder, tokenizer("word_bpe_49k.json"), end_id=2)
     return tokenfile.read_ids(spark, folder)
+
+
+@query("op4_chat", chat.ORACLE)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", chat.TRICKY), (-7, 1, "assistant", chat.TRICKY)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(turns.union(more)))
+
+
+@query("op7_multiset_hash")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return multiset.compared(table(spark, sf, "documents"))
