@@ -14,8 +14,11 @@ name; an empty table gives an empty folder; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A block is closed when it has so many ids; one longer document makes a longer block.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 _SAMPLE = 64  # one select sample for so many documents
 
 BLOCKS = "part long, block long, docs long, nameless long, base long, ids binary, bounds binary, names binary"
@@ -102,36 +105,78 @@ class EliasFano:
 
 
 class Words:
-    """Encodes texts word by word through a memory of bounded size.
-
-    The tokenizer drops white space and never joins over it, so a text's ids are
-    its words' ids one after another. Only blank and line end cut here: they are
-    white space under every definition; all else is left to the tokenizer.
+    """Encodes texts piece by piece through a memory of bounded size.
+
+    The tokenizer file's own pattern cuts a text into pieces that are merged
+    alone, so a text's ids are its pieces' ids one after another. New pieces go
+    through the tokenizer many at once, between blanks; the piece that ends is
+    told by the end-of-word suffix of its last id. Texts where lower-casing or
+    white space could differ between libraries (beyond Latin-1, separator
+    controls, marks of special tokens) are encoded whole by the tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = 300_000):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         self.tok, self.bound, self.known = Tokenizer.from_file(path), bound, {}
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        suffix = told["model"]["end_of_word_suffix"]
+        steps = told["pre_tokenizer"]["pretokenizers"]
+        norms = [n["type"] for n in told["normalizer"]["normalizers"]]
+        self.plain = bool(suffix) and norms == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in steps] == ["Split", "ByteLevel"]
+        if self.plain:
+            self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            self.odd = regex.compile("[\x1c-\x1f\u0100-\U0010ffff]|<\\|").search
+            self.ends = np.zeros(1 + max(told["model"]["vocab"].values()), bool)
+            self.ends[[i for v, i in told["model"]["vocab"].items() if v.endswith(suffix)]] = True
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) + len(pieces) > self.bound:  # the oldest are the most frequent
+            self.known = dict(islice(self.known.items(), self.bound // 2))
+        for a in range(0, len(pieces), 2048):
+            part = pieces[a : a + 2048]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, z in zip(part, (4 * cuts).tolist()):
+                    self.known[w] = raw[at:z]
+                    at = z
+            else:
+                for w in part:
+                    self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
+        if not self.plain:
+            return [self._whole(t) for t in texts]
+        cut = [None if self.odd(t) else self.pieces(t.lower()) for t in texts]
+        new = list({w for ws in cut if ws for w in ws if w not in self.known})
         if new:
-            if len(known) + len(new) > self.bound:
-                known = self.known = {}
-                new = list({w for ws in words for w in ws})
-            for a in range(0, len(new), 4096):
-                part = new[a : a + 4096]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, np.uint32).tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+            self._learn(new)
+            lost = list({w for ws in cut if ws for w in ws if w not in self.known})  # what the bound has pushed out
+            if lost:
+                self._learn(lost)
+        known = self.known
+        return [self._whole(t) if ws is None else b"".join([known[w] if w in known else self._whole(w) for w in ws]) for t, ws in zip(texts, cut)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """One memory for all tasks of a worker."""
+    return Words(path)
 
 
 def _writer(path: str, end_id: int, block_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = words_of(path)
         end = np.array([end_id], np.uint32).tobytes()
         part, block = TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
