@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_dir
-from . import chat, multiset, simhash, tokenfile
+from . import chat, multiset, pii, simhash, tokenfile
 from .catalog import query
 from .common import table
 
@@ -40,3 +40,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_multiset_hash")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return multiset.compared(table(spark, sf, "documents"))
+
+
+@query("op10_surrogates")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replaced(table(spark, sf, "documents").select("doc_id", "text"), count="n_found")
