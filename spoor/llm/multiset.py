@@ -27,35 +27,44 @@ SKETCH = 64
 _WORD, _HALF = 1 << 32, 1 << 31
 
 
+CLAUSE = r"[.,;:!?|]+"
+
+
 def _lanes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Lane sums for the paragraphs `p` of each key: exact lanes e0.., pairs of sketch lanes s0.. (two 32-bit halves each).
+    """keys, exact (array of EXACT longs), sketch (array of SKETCH ints), summed over the paragraphs `p` of each key.
 
     Keys stay whole in their partition, so grouping by them needs no exchange.
+    Two sketch lanes are summed in one long, as halves.
     """
-    hashes = [F.xxhash64(F.lit(k), "p") for k in range(EXACT // 2)]
-    words = rows.select(*keys, F.split("p", " ").alias("w"), *[h.alias(f"h{k}") for k, h in enumerate(hashes)])
-    pairs = F.zip_with("w", F.concat(F.slice("w", 2, 1 << 30), F.array(F.lit(""))), lambda a, b: F.xxhash64(a, b))
-    each = words.select(*keys, *[f"h{k}" for k in range(EXACT // 2)], F.posexplode(pairs).alias("at", "pair"))
-    lane = F.col("pair").bitwiseAND(F.lit(SKETCH - 1)).cast("int")
-    sign = F.when(F.col("pair").bitwiseAND(F.lit(SKETCH)) == 0, F.lit(1).cast("long")).otherwise(F.lit(-1).cast("long"))
-    each = each.withColumns({"q": F.shiftright(lane, 1), "v": F.when(lane.bitwiseAND(F.lit(1)) == 0, sign).otherwise(sign * _WORD)})
-    first = F.col("at") == 0
-    sums = []
-    for k in range(EXACT // 2):
+    half = EXACT // 2
+    hashes = [F.xxhash64(F.lit(k), "p").alias(f"h{k}") for k in range(half)]
+    each = rows.select(*keys, *hashes, F.posexplode(F.split("p", CLAUSE)).alias("at", "clause"))
+    each = each.select(*keys, *[f"h{k}" for k in range(half)], "at", F.xxhash64("clause").alias("c"))
+    one = F.lit(1).cast("long")
+    sign = F.when(F.col("c").bitwiseAND(F.lit(SKETCH)) == 0, one).otherwise(-one)
+    each = each.withColumns({"q": F.shiftright("c", 1).bitwiseAND(F.lit(SKETCH // 2 - 1)).cast("int"), "v": F.when(F.col("c").bitwiseAND(F.lit(1)) == 0, sign).otherwise(sign * _WORD)})
+    first, zero, sums = F.col("at") == 0, F.lit(0).cast("long"), []
+    for k in range(half):
         low, high = F.col(f"h{k}").bitwiseAND(F.lit(_WORD - 1)), F.shiftrightunsigned(f"h{k}", 32)
-        sums += [F.sum(F.when(first, low).otherwise(0)).alias(f"e{2 * k}"), F.sum(F.when(first, high).otherwise(0)).alias(f"e{2 * k + 1}")]
-    zero = F.lit(0).cast("long")
+        sums += [F.sum(F.when(first, low).otherwise(zero)).alias(f"e{2 * k}"), F.sum(F.when(first, high).otherwise(zero)).alias(f"e{2 * k + 1}")]
     sums += [F.sum(F.when(F.col("q") == j, F.col("v")).otherwise(zero)).alias(f"s{j}") for j in range(SKETCH // 2)]
-    return each.groupBy(*keys).agg(*sums)
+    got = each.groupBy(*keys).agg(*sums)
+    low = lambda s: F.pmod(s + _HALF, F.lit(_WORD)) - _HALF
+    halves = F.flatten(F.transform(F.array(*[f"s{j}" for j in range(SKETCH // 2)]), lambda s: F.array(low(s), F.shiftright(s - low(s), 32))))
+    return got.select(*keys, F.array(*[f"e{k}" for k in range(EXACT)]).alias("exact"), halves.cast("array<int>").alias("sketch"))
+
+
+def _hex(c: Column, digits: int) -> Column:
+    return F.lpad(F.hex(F.pmod(c.cast("long"), F.lit(1 << (4 * digits)))), digits, "0")
 
 
-def _packed() -> Column:
-    """The fingerprint string of the lane sums: exact lanes at eight hex digits, sketch lanes at four."""
-    hexed = lambda c, n: F.lpad(F.hex(F.pmod(c, F.lit(1 << (4 * n)))), n, "0")
-    parts = [hexed(F.col(f"e{k}"), 8) for k in range(EXACT)]
-    for j in range(SKETCH // 2):
-        low = F.pmod(F.col(f"s{j}") + _HALF, F.lit(_WORD)) - _HALF
-        parts += [hexed(low, 4), hexed(F.shiftright(F.col(f"s{j}") - low, 32), 4)]
+def _hexer(digits: int):
+    return lambda x: _hex(x, digits)
+
+
+def packed(exact: str | Column, sketch: str | Column) -> Column:
+    """The fingerprint string: exact lanes at eight hex digits, sketch lanes at four."""
+    parts = [F.array_join(F.transform(a, _hexer(n)), "") for a, n in ((exact, 8), (sketch, 4))]
     return F.lower(F.concat(*parts))
 
 
@@ -69,11 +78,9 @@ def lanes_of(fp: Column) -> tuple[Column, Column]:
 
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the paragraphs of both (sign 1), or of a's without b's (sign -1)."""
-    hexed = lambda c, n: F.lpad(F.hex(F.pmod(c, F.lit(1 << (4 * n)))), n, "0")
     (ea, sa), (eb, sb) = lanes_of(a), lanes_of(b)
-    e = F.transform(F.arrays_zip(ea.alias("x"), eb.alias("y")), lambda z: hexed(z["x"] + sign * z["y"], 8))
-    s = F.transform(F.arrays_zip(sa.alias("x"), sb.alias("y")), lambda z: hexed(z["x"] + sign * z["y"], 4))
-    return F.lower(F.concat(F.array_join(e, ""), F.array_join(s, "")))
+    added = lambda x, y: F.zip_with(x, y, lambda p, q: p + sign * q)
+    return packed(added(ea, eb), added(sa, sb))
 
 
 def _likeness(xy: Column, xx: Column, yy: Column, same: Column) -> Column:
@@ -81,17 +88,20 @@ def _likeness(xy: Column, xx: Column, yy: Column, same: Column) -> Column:
     return F.when(same, 1.0).when((xx == 0) | (yy == 0), 0.0).when(xy.isNotNull(), c)
 
 
+def _cosine(x: Column, y: Column, same: Column) -> Column:
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, z: s + z)
+    return _likeness(dot(x, y), dot(x, x), dot(y, y), same)
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Cosine of two fingerprints' sketch lanes, not below 0; 1 for equal fingerprints."""
-    x, y = lanes_of(a)[1], lanes_of(b)[1]
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return _likeness(dot(x, y), dot(x, x), dot(y, y), a == b)
+    return _cosine(lanes_of(a)[1], lanes_of(b)[1], a == b)
 
 
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, fp: one fingerprint per key, whose rows hold its text or parts of it."""
+    """keys, exact, sketch, fp: one fingerprint per key, whose rows hold its text or parts of it."""
     parts = rows.select(*keys, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p"))
-    return _lanes(parts, keys).select(*keys, _packed().alias("fp"))
+    return _lanes(parts, keys).withColumn("fp", packed("exact", "sketch"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -122,10 +132,12 @@ def compared(docs: DataFrame) -> DataFrame:
         F.posexplode(F.array("text", "edited")).alias("kind", "t"),
     )
     prints = fingerprints(both.select(*kept, "kind", F.col("t").alias("text")), [*kept, "kind"])
-    pair = prints.groupBy(*kept).agg(F.max(F.when(F.col("kind") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("kind") == 1, F.col("fp"))).alias("efp"))
-    pair = stage(pair.withColumn("near_edited", likeness(F.col("fp"), F.col("efp"))))
-    other = pair.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), F.col("fp").alias("next_fp"))
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.struct("fp", "sketch")))
+    pair = prints.groupBy(*kept).agg(of(0).alias("a"), of(1).alias("b"))
+    near = _cosine(F.col("a.sketch"), F.col("b.sketch"), F.col("a.fp") == F.col("b.fp"))
+    pair = stage(pair.select(*kept, F.col("a.fp").alias("fp"), F.col("a.sketch").alias("sketch"), F.col("b.fp").alias("efp"), near.alias("near_edited")))
+    other = pair.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), F.col("fp").alias("next_fp"), F.col("sketch").alias("next_sketch"))
     out = pair.join(other, (F.col("next_id") == F.col("k")) & (F.col("next_h") == F.col("kh")), "left")
-    near = F.coalesce(likeness(F.col("fp"), F.col("next_fp")), F.lit(0.0))
+    near = F.coalesce(_cosine(F.col("sketch"), F.col("next_sketch"), F.col("fp") == F.col("next_fp")), F.lit(0.0))
     out = out.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", near.alias("near_next"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("c"))
     return out.drop("c")

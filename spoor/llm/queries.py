@@ -5,11 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import chat, multiset, pii, simhash, tokenfile
+from . import chat, language, multiset, pii, simhash, tokenfile, toxicity
 from .catalog import query
-from .common import table
+from .common import fold, table
 
 
 def tokenizer(name: str) -> str:
@@ -45,3 +46,20 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_surrogates")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pii.replaced(table(spark, sf, "documents").select("doc_id", "text"), count="n_found")
+
+
+@query("op2_language")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = fold("doc_id", 4) == 2
+    model = language.profiles(docs.filter(~held).select("lang", "text"))
+    return language.identified(docs, model, {"doc_id": F.col("doc_id"), "held_out": held})
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs, held = table(spark, sf, "documents"), fold("doc_id", 3) == 1
+    labels = table(spark, sf, "labels").filter(fold("doc_id", 3) != 1).select("doc_id", "toxic")
+    model = toxicity.train(docs.filter(~held).select("doc_id", "text").join(labels, "doc_id"))
+    out = toxicity.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": held})
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
