@@ -105,30 +105,33 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, h, copies, text, edited, next_id, next_h: each distinct row with its edited text.
+    """gone, id, h, copies, text, edited, next_id, next_h: each distinct row with its edited text.
 
-    Text is dealt by doc_id once; what comes back to a row is only the beginning
-    of the next document, as long as it needs.
+    Text is dealt by id once; what comes back to a row is only the beginning of
+    the next document, as long as it needs. A row without doc_id is `gone` and
+    goes by a hash of its text, so that no step treats nulls apart and all read
+    one exchange.
     """
-    ids = docs.select("doc_id")
-    dealt = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartition("doc_id")
-    rows = dealt.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("h", F.xxhash64("text"))
-    first = dealt.groupBy("doc_id").agg(F.min("text").alias("next_text")).withColumnRenamed("doc_id", "k")
-    want = rows.select("doc_id", "h", F.floor(F.length("text") / 4).cast("int").alias("m")).join(next_ids(ids), "doc_id")
-    sent = want.join(first, F.col("next_id") == F.col("k")).select("doc_id", F.struct("h", "next_id", F.xxhash64("next_text").alias("next_h"), F.col("next_text").substr(F.lit(1), F.col("m")).alias("start")).alias("s"))
-    sent = sent.groupBy("doc_id").agg(F.collect_list("s").alias("sent"))
-    met = rows.join(sent, "doc_id", "left").withColumn("s", F.filter("sent", lambda s: s["h"] == F.col("h"))[0])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    real = F.col("doc_id").cast("long")
+    dealt = docs.select(real.isNull().alias("gone"), F.coalesce(real, F.xxhash64(text)).alias("id"), text.alias("text")).repartition("id")
+    rows = dealt.groupBy("gone", "id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("h", F.xxhash64("text"))
+    first = dealt.groupBy("id").agg(F.min(F.when(~F.col("gone"), F.col("text"))).alias("next_text")).withColumnRenamed("id", "k")
+    want = rows.select("id", "h", F.floor(F.length("text") / 4).cast("int").alias("m")).join(next_ids(docs.select(real.alias("id")), "id"), "id")
+    sent = want.join(first, F.col("next_id") == F.col("k")).select("id", F.struct("h", "next_id", F.xxhash64("next_text").alias("next_h"), F.col("next_text").substr(F.lit(1), F.col("m")).alias("start")).alias("s"))
+    sent = sent.groupBy("id").agg(F.collect_list("s").alias("sent"))
+    met = rows.join(sent, "id", "left").withColumn("s", F.when(~F.col("gone"), F.filter("sent", lambda s: s["h"] == F.col("h"))[0]))
     n = F.length("text")
     whole = F.concat(F.col("text").substr(F.lit(1), (n - F.floor(n / 4)).cast("int")), F.coalesce("s.start", F.lit("")))
-    return met.select("doc_id", "h", "copies", "text", whole.alias("edited"), "s.next_id", "s.next_h")
+    return met.select("gone", "id", "h", "copies", "text", whole.alias("edited"), "s.next_id", "s.next_h")
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = edited(docs)
-    kept = ["doc_id", "h", "copies", "next_id", "next_h", "n_chars", "edited_sha256"]
+    kept = ["gone", "id", "h", "copies", "next_id", "next_h", "n_chars", "edited_sha256"]
     both = rows.select(
-        "doc_id", "h", "copies", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "gone", "id", "h", "copies", "next_id", "next_h", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         F.posexplode(F.array("text", "edited")).alias("kind", "t"),
     )
     prints = fingerprints(both.select(*kept, "kind", F.col("t").alias("text")), [*kept, "kind"])
@@ -136,8 +139,8 @@ def compared(docs: DataFrame) -> DataFrame:
     pair = prints.groupBy(*kept).agg(of(0).alias("a"), of(1).alias("b"))
     near = _cosine(F.col("a.sketch"), F.col("b.sketch"), F.col("a.fp") == F.col("b.fp"))
     pair = stage(pair.select(*kept, F.col("a.fp").alias("fp"), F.col("a.sketch").alias("sketch"), F.col("b.fp").alias("efp"), near.alias("near_edited")))
-    other = pair.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), F.col("fp").alias("next_fp"), F.col("sketch").alias("next_sketch"))
+    other = pair.filter(~F.col("gone")).select(F.col("id").alias("k"), F.col("h").alias("kh"), F.col("fp").alias("next_fp"), F.col("sketch").alias("next_sketch"))
     out = pair.join(other, (F.col("next_id") == F.col("k")) & (F.col("next_h") == F.col("kh")), "left")
     near = F.coalesce(_cosine(F.col("sketch"), F.col("next_sketch"), F.col("fp") == F.col("next_fp")), F.lit(0.0))
-    out = out.select("doc_id", "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", near.alias("near_next"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("c"))
+    out = out.select(F.when(~F.col("gone"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"), "near_edited", near.alias("near_next"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("c"))
     return out.drop("c")

@@ -1,22 +1,22 @@
-"""Toxicity by two Kneser-Ney bigram models, one of toxic and one of ordinary texts.
+"""Toxicity by two Kneser-Ney models of letters, one of toxic and one of ordinary texts.
 
-Each class has interpolated Kneser-Ney probabilities of its own bigram and word
-counts; both back off to one shared distribution, the number of distinct left
-neighbours of a word over both classes. So an expression that is rare in either
-class says little, and a word that neither has seen says nothing. A text's score
-is the difference of the two log-likelihoods per word, put on a 0 to 1 scale by
-a logistic curve that is fitted on labelled rows the counts have not seen.
+Each class has interpolated Kneser-Ney probabilities of a byte after three bytes
+from its own counts. Both back off to one shared distribution, built from the
+number of distinct left neighbours over both classes, so an expression that is
+rare in either class says little, while new forms of a known expression share
+its beginning. A text's score is the difference of the two log-likelihoods per
+byte, put on a 0 to 1 scale by a logistic curve fitted on labelled rows that the
+counts have not seen.
 
 Counts come from all labelled training rows but every CALIBRATION-th, by hash of
-id; the curve from at most CURVE_ROWS of the rest, the smallest hashes first.
-Words and bigrams live in hashed tables of fixed size (WORD_BITS, PAIR_BITS), so
-what is broadcast has one size for any corpus: 4 * 2 * (2**PAIR_BITS +
-5 * 2**WORD_BITS) bytes at most, 56 MB.
-
-Defined results: null and empty texts count as texts without words, whose score
-is the curve at 0; repeated rows count as often as they occur; labels of null or
-beyond 0 and 1 are not learnt; without both classes every score is 0.5; an empty
-table gives an empty result; other columns are not read.
+id; the curve from at most CURVE_ROWS of those, the smallest hashes first. All
+probabilities are worked out in joins of the counts; what is broadcast are two
+tables of log-ratios of fixed size (2**GRAM_BITS and 2**LEFT_BITS floats, 12 MB).
+
+Defined results: null and empty texts have no letters and get the curve's value
+at 0; repeated rows count as often as they occur; labels of null or beyond 0 and
+1 are not learnt; without both classes every score is 0.5; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,123 +28,146 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, encoded, hashed_words, mix, steps
+from .common import WORDS, encoded, mix, steps
 
-WORD_BITS = 20
-PAIR_BITS = 21
+GRAM_BITS = 21
+LEFT_BITS = 20
 DISCOUNT = 0.75
 CALIBRATION = 5
 CURVE_ROWS = 50_000
 _BLOCK = 14
-_START = np.uint64(0x5BD1E995)
+_PAD = b"    "
 
 
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words in order: pair hash, left word's place, own place; and each text's first position."""
-    h, off = hashed_words([t.lower() for t in texts], WORDS)
-    left = np.concatenate([[_START], h[:-1]]) if len(h) else h
-    starts = off[:-1][np.diff(off) > 0]
-    left[starts] = _START
-    shift = np.uint64(64 - WORD_BITS)
-    return mix(left * np.uint64(0x9E3779B97F4A7C15) + h), left >> shift, h >> shift, off
+def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every four bytes in a row of the texts, as numbers, and each text's first position.
 
-
-_COUNTED = "pair long, lefts int, word int, toxic long, plain long"
+    A-Z is lower-cased; runs of other bytes than letters and digits are one blank.
+    """
+    raw = b"".join(_PAD + t.lower() for t in texts)
+    b = np.frombuffer(raw, np.uint8)
+    blank = WORDS[b]
+    keep = ~blank | np.concatenate([[True], ~blank[:-1]])
+    starts = np.cumsum([0, *[len(t) + len(_PAD) for t in texts]])
+    keep[starts[:-1]] = True
+    off = np.concatenate([[0], np.cumsum(keep)])[starts]
+    b = np.where(blank, 32, b)[keep].astype(np.uint32)
+    b = np.concatenate([np.full(3, 32, np.uint32), b])
+    return (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], off
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
+    """gram, toxic, plain: a task's counts, added up before the exchange."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def out() -> pa.RecordBatch:
-        a = np.concatenate(held)
-        order = np.argsort(a["pair"], kind="stable")
-        a = a[order]
-        first = np.flatnonzero(np.concatenate([[True], a["pair"][1:] != a["pair"][:-1]]))
-        sums = [np.add.reduceat(a[c], first) for c in ("toxic", "plain")]
-        return pa.RecordBatch.from_arrays([pa.array(a["pair"][first]), pa.array(a["lefts"][first]), pa.array(a["word"][first]), *map(pa.array, sums)], names=["pair", "lefts", "word", "toxic", "plain"])
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        g = np.concatenate([x[0] for x in held])
+        order = np.argsort(g, kind="stable")
+        g = g[order]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        return g[first], np.add.reduceat(np.concatenate([x[1] for x in held])[order], first, axis=0)
+
+    def out(g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["gram", "toxic", "plain"])
 
     for batch in batches:
         label, texts = batch.column(0).to_numpy(), encoded(batch.column(1))
         for a, z in steps(texts):
-            pair, left, word, off = _pairs(texts[a:z])
-            rec = np.zeros(len(pair), [("pair", "i8"), ("lefts", "i4"), ("word", "i4"), ("toxic", "i8"), ("plain", "i8")])
+            gram, off = _grams(texts[a:z])
             toxic = np.repeat(label[a:z] == 1, np.diff(off))
-            rec["pair"], rec["lefts"], rec["word"], rec["toxic"], rec["plain"] = pair.view(np.int64), left, word, toxic, ~toxic
-            held.append(rec)
-            if sum(map(len, held)) > 1 << 20:
-                yield out()
-                held = []
+            for on, column in ((toxic, 0), (~toxic, 1)):
+                g, c = np.unique(gram[on], return_counts=True)
+                n = np.zeros((len(g), 2), np.int64)
+                n[:, column] = c
+                held.append((g, n))
+            if len(held) >= 32:
+                held = [added()]
+                if len(held[0][0]) > 1 << 20:
+                    yield out(*held[0])
+                    held = []
     if held:
-        yield out()
+        yield out(*added())
+
+
+def log_ratios(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, ratio) of grams seen, and (left, ratio) of three bytes before a gram not seen, from (toxic, text) rows."""
+    rows = rows.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
+    grams = rows.mapInArrow(_count, "gram long, toxic long, plain long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    grams = grams.withColumns({"left": F.shiftright("gram", 8), "tri": F.col("gram").bitwiseAND(F.lit(0xFFFFFF)), "bi": F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)), "own": F.col("gram").bitwiseAND(F.lit(0xFF))})
+    some = lambda c, n: F.sum((F.col(c) > 0).cast("long")).alias(n)
+    lefts = grams.groupBy("left").agg(F.sum("toxic").alias("nt"), F.sum("plain").alias("np"), some("toxic", "tt"), some("plain", "tp"))
+    tri = grams.groupBy("tri", "bi", "own").agg(F.count(F.lit(1)).alias("d3"))
+    bi = tri.groupBy("bi").agg(F.sum("d3").alias("d2"), F.count(F.lit(1)).alias("t2"))
+    one = tri.groupBy("own").agg(F.sum("d3").alias("d1"))  # 256 rows at most
+    whole = one.agg(F.sum("d1").alias("d0"))
+    d = F.lit(DISCOUNT)
+    shared = (F.greatest(F.col("d3") - d, F.lit(0.0)) + d * F.col("t2") * F.col("d1") / F.col("d0")) / F.col("d2")
+    tri = tri.join(bi, "bi").join(F.broadcast(one), "own").crossJoin(F.broadcast(whole)).select("tri", shared.alias("shared"))
+
+    def weight(n: str, t: str) -> Column:
+        return F.when(F.col(n) > 0, d * F.col(t) / F.col(n)).otherwise(1.0)
+
+    def chance(c: str, n: str, t: str) -> Column:
+        seen = F.when(F.col(n) > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(n)).otherwise(0.0)
+        return seen + weight(n, t) * F.col("shared")
+
+    known = grams.join(lefts, "left").join(tri, "tri").select("gram", F.log(chance("toxic", "nt", "tt") / chance("plain", "np", "tp")).alias("ratio"))
+    return known, lefts.select("left", F.log(weight("nt", "tt") / weight("np", "tp")).alias("ratio"))
+
+
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _place(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> _BLOCK), pa.array(at & ((1 << _BLOCK) - 1)), batch.column(1)], names=["block", "place", "ratio"])
+
+    return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one block become one dense array of the five sums."""
-    held: dict[tuple[int, int], np.ndarray] = {}
+    """The rows of a block as one dense array; where two keys meet, their mean."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        kind, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sums = np.stack([batch.column(i).to_numpy() for i in range(2, 7)]).astype(np.float32)
-        block = place >> _BLOCK
-        for k, b in set(zip(kind.tolist(), block.tolist())):
-            on = (kind == k) & (block == b)
-            held.setdefault((k, b), np.zeros((5, 1 << _BLOCK), np.float32))[:, place[on] & ((1 << _BLOCK) - 1)] = sums[:, on]
-    for (k, b), dense in held.items():
-        some = dense[:2] if k == 0 else dense  # of pairs only the counts are asked for
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["kind", "block", "dense"])
-
-
-def tables(rows: DataFrame) -> list[np.ndarray]:
-    """Dense sums for pairs, left words and words, of (toxic, text) rows.
-
-    The columns: toxic and plain occurrences; distinct pairs in either class;
-    distinct pairs. Pairs are added up where they are read, before any exchange.
-    """
-    pairs = rows.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text")).mapInArrow(_count, _COUNTED)
-    pairs = pairs.groupBy("pair").agg(F.first("lefts").alias("lefts"), F.first("word").alias("word"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    place = F.shiftrightunsigned("pair", 64 - PAIR_BITS).cast("int")
-    at = F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("place")) for k, p in enumerate((place, F.col("lefts"), F.col("word")))])
-    each = pairs.select(F.explode(at).alias("at"), "toxic", "plain")
-    one = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(f"d_{c}")
-    sums = each.groupBy("at.kind", "at.place").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), one("toxic"), one("plain"), F.count(F.lit(1)).alias("d"))
-    blocks = sums.repartition("kind", F.shiftright("place", _BLOCK)).mapInArrow(_pack, "kind int, block int, dense binary").collect()
-    out = [np.zeros((2, 1 << PAIR_BITS), np.float32), *(np.zeros((5, 1 << WORD_BITS), np.float32) for _ in range(2))]
-    for b in blocks:
-        out[b.kind][:, b.block << _BLOCK : (b.block + 1) << _BLOCK] = np.frombuffer(b.dense, np.float32).reshape(-1, 1 << _BLOCK)
+        block, place, ratio = (batch.column(i).to_numpy() for i in range(3))
+        for b in np.unique(block).tolist():
+            on = block == b
+            sums = held.setdefault(b, np.zeros((2, 1 << _BLOCK)))
+            np.add.at(sums[0], place[on], ratio[on])
+            np.add.at(sums[1], place[on], 1)
+    for b, (total, n) in held.items():
+        dense = np.where(n > 0, total / np.maximum(n, 1), np.nan).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([dense.tobytes()], pa.binary())], names=["block", "dense"])
+
+
+def dense(ratios: DataFrame, bits: int) -> np.ndarray:
+    """A (key, ratio) table in 2**bits hashed places; NaN where nothing is."""
+    placed = ratios.mapInArrow(_place(bits), "block long, place long, ratio double").repartition("block")
+    out = np.full(1 << bits, np.nan, np.float32)
+    for r in placed.mapInArrow(_pack, "block long, dense binary").collect():
+        out[r.block << _BLOCK : (r.block + 1) << _BLOCK] = np.frombuffer(r.dense, np.float32)
     return out
 
 
 class Model:
-    """Table of log-ratio parts, and the curve (a, b): score = 1 / (1 + exp(-(a + b * ratio)))."""
-
-    def __init__(self, sums: list[np.ndarray]):
-        pair, left, word = sums
-        d = np.float32(DISCOUNT)
-        shared = (word[4] + 0.5 / (1 << WORD_BITS)) / (word[4].sum() + 0.5)
-        self.pair, self.weight, self.total, self.word = pair, [], [], []
-        for c in (0, 1):
-            n = max(float(word[c].sum()), 1.0)
-            gave = max(float((np.minimum(word[c], d)).sum()), 1e-6)
-            self.word.append((np.maximum(word[c] - d, 0) / n + gave / n * shared).astype(np.float32))
-            self.total.append(np.maximum(left[c], 1e-9))
-            self.weight.append(np.where(left[c] > 0, d * left[2 + c] / np.maximum(left[c], 1e-9), 1).clip(1e-6, 1).astype(np.float32))
-        self.trained = bool(word[0].any() and word[1].any())
-        self.curve = (0.0, 0.0)
+    """Log-ratio tables, and the curve (a, b): score = 1 / (1 + exp(-(a + b * ratio)))."""
+
+    def __init__(self, known: np.ndarray, lefts: np.ndarray):
+        self.known, self.lefts, self.curve = known, np.nan_to_num(lefts), (0.0, 0.0)
 
     def ratios(self, texts: list[bytes]) -> np.ndarray:
-        """Log-likelihood difference per word of each text."""
-        if not self.trained:
-            return np.zeros(len(texts))
+        """Log-likelihood difference per byte of each text."""
         out = []
         for a, z in steps(texts):
-            pair, left, word, off = _pairs(texts[a:z])
-            place = pair >> np.uint64(64 - PAIR_BITS)
-            logs = []
-            for c in (0, 1):
-                own = np.maximum(self.pair[c][place] - np.float32(DISCOUNT), 0) / self.total[c][left]
-                logs.append(np.log(own + self.weight[c][left] * self.word[c][word]))
-            sums = np.concatenate([[0.0], np.cumsum(logs[0].astype(np.float64) - logs[1])])
-            n = np.diff(off)
-            out.append((sums[off[1:]] - sums[off[:-1]]) / np.maximum(n, 1))
+            gram, off = _grams(texts[a:z])
+            r = self.known[_places(gram, GRAM_BITS)]
+            new = np.flatnonzero(np.isnan(r))
+            r[new] = self.lefts[_places(gram[new] >> 8, LEFT_BITS)]
+            sums = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
+            out.append((sums[off[1:]] - sums[off[:-1]]) / np.maximum(np.diff(off), 1))
         return np.concatenate(out) if out else np.zeros(0)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -152,48 +175,38 @@ class Model:
         return 1 / (1 + np.exp(-(a + b * self.ratios(texts)).clip(-50, 50)))
 
 
-def fitted_curve(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
+def fitted_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Logistic regression of y on x by Newton steps, with a weak pull to zero."""
     if not len(x) or y.min() == y.max():
         return (0.0, 0.0)
     m, s = float(x.mean()), float(x.std()) or 1.0
     z = np.stack([np.ones(len(x)), (x - m) / s], 1)
     w = np.zeros(2)
-    for _ in range(steps):
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-(z @ w).clip(-50, 50)))
         g = z.T @ (y - p) - 1e-2 * w
         w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), g)
     return float(w[0] - w[1] * m / s), float(w[1] / s)
 
 
-def _scorer(model, keep: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value if hasattr(model, "value") else model
-        for batch in batches:
-            got = m.scores(encoded(batch.column(keep)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(got)], names=[*batch.schema.names[:keep], "score"])
-
-    return run
-
-
 def train(rows: DataFrame) -> Model:
     """A model of (doc_id, text, toxic) rows."""
     rows = rows.filter(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     order = F.xxhash64(F.lit("curve"), "doc_id")
     held = F.pmod(order, F.lit(CALIBRATION)) == 0
-    model = Model(tables(rows.filter(~held)))
-    if model.trained:
-        sent = rows.sparkSession.sparkContext.broadcast(model)
-
-        def ratio(batches):
-            for batch in batches:
-                x = sent.value.ratios(encoded(batch.column(2)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x)], names=["o", "y", "x"])
-
-        part = rows.filter(held).select(order.alias("o"), F.col("toxic").alias("y"), F.col("text").cast("string")).mapInArrow(ratio, "o long, y int, x double")
-        got = part.orderBy("o", "y", "x").limit(CURVE_ROWS).collect()
-        model.curve = fitted_curve(np.array([r.x for r in got]), np.array([r.y for r in got], float))
-        sent.unpersist()
+    known, lefts = log_ratios(rows.filter(~held))
+    model = Model(dense(known, GRAM_BITS), dense(lefts, LEFT_BITS))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def ratio(batches):
+        for batch in batches:
+            x = sent.value.ratios(encoded(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x)], names=["o", "y", "x"])
+
+    part = rows.filter(held).select(order.alias("o"), F.col("toxic").alias("y"), F.col("text").cast("string")).mapInArrow(ratio, "o long, y int, x double")
+    got = part.orderBy("o", "y", "x").limit(CURVE_ROWS).collect()
+    model.curve = fitted_curve(np.array([r.x for r in got]), np.array([r.y for r in got], float))
+    sent.unpersist()
     return model
 
 
@@ -201,4 +214,11 @@ def scored(docs: DataFrame, model: Model, keep: dict[str, Column]) -> DataFrame:
     """The columns of `keep`, then the score of `text`."""
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), len(keep)), f"{kinds}, score double")
+    sent, n = docs.sparkSession.sparkContext.broadcast(model), len(keep)
+
+    def run(batches):
+        for batch in batches:
+            got = pa.array(sent.value.scores(encoded(batch.column(n))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], got], names=[*batch.schema.names[:n], "score"])
+
+    return rows.mapInArrow(run, f"{kinds}, score double")
