@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -105,14 +106,13 @@ class EliasFano:
 
 
 class Words:
-    """Encodes texts piece by piece through a memory of bounded size.
-
-    The tokenizer file's own pattern cuts a text into pieces that are merged
-    alone, so a text's ids are its pieces' ids one after another. New pieces go
-    through the tokenizer many at once, between blanks; the piece that ends is
-    told by the end-of-word suffix of its last id. Texts where lower-casing or
-    white space could differ between libraries (beyond Latin-1, separator
-    controls, marks of special tokens) are encoded whole by the tokenizer.
+    """Encodes texts word by word through memories of bounded size.
+
+    White space never joins over, so a text's ids are its words' ids; the
+    tokenizer file's own pattern cuts a word into pieces, whose letters go
+    through the tokenizer's merges alone. Texts where lower-casing or white space
+    could differ between libraries (beyond Latin-1, separator controls, marks of
+    special tokens) are encoded whole by the tokenizer.
     """
 
     def __init__(self, path: str, bound: int = 300_000):
@@ -122,52 +122,60 @@ class Words:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
-        self.tok, self.bound, self.known = Tokenizer.from_file(path), bound, {}
+        self.tok, self.bound, self.words, self.parts = Tokenizer.from_file(path), bound, {}, {}
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
-        suffix = told["model"]["end_of_word_suffix"]
         steps = told["pre_tokenizer"]["pretokenizers"]
         norms = [n["type"] for n in told["normalizer"]["normalizers"]]
-        self.plain = bool(suffix) and norms == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in steps] == ["Split", "ByteLevel"]
+        self.plain = norms == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in steps] == ["Split", "ByteLevel"]
         if self.plain:
             self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
             self.odd = regex.compile("[\x1c-\x1f\u0100-\U0010ffff]|<\\|").search
-            self.ends = np.zeros(1 + max(told["model"]["vocab"].values()), bool)
-            self.ends[[i for v, i in told["model"]["vocab"].items() if v.endswith(suffix)]] = True
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.bound:  # the oldest are the most frequent
-            self.known = dict(islice(self.known.items(), self.bound // 2))
-        for a in range(0, len(pieces), 2048):
-            part = pieces[a : a + 2048]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for w, z in zip(part, (4 * cuts).tolist()):
-                    self.known[w] = raw[at:z]
-                    at = z
-            else:
-                for w in part:
-                    self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+            self.letters = _byte_letters()
+            self.merge = self.tok.model.tokenize
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(shown)]).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.words) + len(words) > self.bound:  # the oldest are the most frequent
+            self.words = dict(islice(self.words.items(), self.bound // 2))
+        if len(self.parts) > self.bound:
+            self.parts = dict(islice(self.parts.items(), self.bound // 2))
+        parts = self.parts
+        for w in words:
+            cut = self.pieces(w)
+            for p in cut:
+                if p not in parts:
+                    parts[p] = self._piece(p)
+            self.words[w] = parts[w] if w in parts else b"".join([parts[p] for p in cut])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return [self._whole(t) for t in texts]
-        cut = [None if self.odd(t) else self.pieces(t.lower()) for t in texts]
-        new = list({w for ws in cut if ws for w in ws if w not in self.known})
+        cut = [None if self.odd(t) else t.lower().replace("\n", " ").split(" ") for t in texts]
+        seen = set().union(*[ws for ws in cut if ws])
+        new = [w for w in seen if w not in self.words]
         if new:
             self._learn(new)
-            lost = list({w for ws in cut if ws for w in ws if w not in self.known})  # what the bound has pushed out
-            if lost:
-                self._learn(lost)
-        known = self.known
-        return [self._whole(t) if ws is None else b"".join([known[w] if w in known else self._whole(w) for w in ws]) for t, ws in zip(texts, cut)]
+            lost = [w for w in seen if w not in self.words]  # what the bound has pushed out
+            for w in lost:
+                self.words[w] = b"".join([self._piece(p) for p in self.pieces(w)])
+        words = self.words
+        return [self._whole(t) if ws is None else b"".join([words[w] for w in ws]) for t, ws in zip(texts, cut)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers show for each byte: printable Latin-1 itself, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=1)
 def words_of(path: str) -> Words:
     """One memory for all tasks of a worker."""
