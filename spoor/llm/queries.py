@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import chat, language, multiset, pii, simhash, tokenfile, toxicity
+from . import chat, language, multiset, pieces, pii, simhash, tokenfile, toxicity
 from .catalog import query
 from .common import fold, table
 
@@ -63,3 +63,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs.filter(~held).select("doc_id", "text").join(labels, "doc_id"))
     out = toxicity.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": held})
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op3_pieces")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    back = pieces.decoded(pieces.encoded(table(spark, sf, "documents"), model, ["doc_id", "text"]), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
