@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import chat, language, multiset, pieces, pii, simhash, tokenfile, toxicity
+from . import chat, language, multiset, pieces, pii, simhash, substrings, tokenfile, toxicity
 from .catalog import query
 from .common import fold, table
 
@@ -71,3 +71,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     back = pieces.decoded(pieces.encoded(table(spark, sf, "documents"), model, ["doc_id", "text"]), model)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
+@query("op5_substrings")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf, "documents")).drop("kept")
