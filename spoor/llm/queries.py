@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import chat, language, multiset, pieces, pii, simhash, substrings, tokenfile, toxicity
+from . import chat, language, multiset, pieces, pii, retrieval, simhash, substrings, tokenfile, toxicity
 from .catalog import query
 from .common import fold, table
 
@@ -76,3 +76,9 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_substrings")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf, "documents")).drop("kept")
+
+
+@query("op1_retrieval")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    found = retrieval.searched(table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"])
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
