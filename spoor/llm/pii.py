@@ -56,9 +56,11 @@ PATTERNS = {
     "card": r"(?<![\p{L}\d])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\p{L}\d])",
     "national": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\p{L}\d\-])",
     "secret": r"(?<![\p{L}\d])(?:(?=[a-f]*+\d)[0-9a-f]{32,}|(?=[A-F]*+\d)[0-9A-F]{32,})(?![\p{L}\d])",
-    "name": rf"(?<![\p{{L}}\d]){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?<![\p{{L}}\d]){_TITLE}\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(PATTERNS.values())
+#: What every entity has some of; one character settles most places of a text.
+HINT = rf"[0-9@]|(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?<![\p{{L}}\d]){_TITLE}\.? \p{{Lu}}"
 
 _DRAWS = 64  # draws for one entity; far more than a free domain needs
 
@@ -212,7 +214,7 @@ def replaced(docs: DataFrame, key: str = "surrogates", count: str | None = None)
     """
     names = docs.columns
     t = F.col("text")
-    has = F.coalesce(t.rlike(ANY), F.lit(False))
+    has = F.coalesce(t.rlike(HINT) & t.rlike(ANY), F.lit(False))  # the second is asked where the first holds
     plain = docs.filter(~has).select(*names, *([F.lit(0).cast("long").alias(count)] if count else []))
     held = docs.filter(has).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), t.alias("t")).withColumn("found", F.regexp_extract_all("t", F.lit(ANY), F.lit(0)))
     each = held.select("t", F.explode(F.array_distinct("found")).alias("e")).withColumn("x", entity(F.col("e"))).select("t", "e", "x.kind", "x.canon")
