@@ -201,6 +201,6 @@ def _predict(model: dict[str, list[int]], top: int):
 
 def identified(docs: DataFrame, model: dict[str, list[int]], keep: dict[str, Column], top: int = TOP) -> DataFrame:
     """The columns of `keep`, then lang_pred and score of `text`."""
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("text"))
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     return rows.mapInArrow(_predict(model, top), f"{kinds}, lang_pred string, score double")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import components, encoded, mix, steps
+from .common import components, encoded, hashed_words, mix, steps
 
 #: Groups above this are cut by the next two of four blocks of their free 32 bits; such a part has at most 2**16 members.
 HOT = 2048
@@ -198,3 +198,122 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     each = named.join(roots, "root").select("fp", "component_id")
     return prints.join(each, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near copies by similarity
+
+#: Fingerprint words of 64 bits, and their 16-bit bands.
+WIDE = 8
+BANDS = 4 * WIDE
+#: Rows of a band that are compared at once.
+BLOCK = 4096
+_ASCII_BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits within which two sets of that Jaccard similarity fall nearly always: their mean and a deviation and a half."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = 64 * WIDE
+    return int(n * p + 1.5 * np.sqrt(n * p * (1 - p)))
+
+
+def _wide(width: int):
+    """Per text: hash of the lower-cased words, WIDE fingerprint words of its distinct shingles, and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = encoded(batch.column(1))
+            for a, z in steps(texts, 1 << 19):
+                h, off = hashed_words([t.lower() for t in texts[a:z]], _ASCII_BLANKS)
+                sets = []
+                for i in range(z - a):
+                    w = h[off[i] : off[i + 1]]
+                    k = min(width, len(w))
+                    s = np.zeros(max(len(w) - k + 1, 0) if k else 0, np.uint64)
+                    for j in range(k):
+                        s = s * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j]
+                    sets.append(np.unique(s))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
+                flat = np.concatenate(sets)
+                prints = np.stack([majority(mix(flat + np.uint64(k * 0x9E37)), ends) for k in range(WIDE)], 1)
+                cols = [batch.column(0).slice(a, z - a), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(np.diff(ends))]
+                yield pa.RecordBatch.from_arrays(cols, names=["g", "fp", "n"])
+
+    return run
+
+
+def _near(radius: int):
+    """Links inside the groups of a band, which come sorted: of each block with itself and with the leaders before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, prints = None, [], []
+
+        def solved() -> tuple[list[int], list[int]]:
+            u, v = [], []
+            leads, lead_ids = np.zeros((0, WIDE), np.uint64), np.zeros(0, np.int64)
+            for a in range(0, len(ids), BLOCK):
+                own = np.concatenate([lead_ids, np.array(ids[a : a + BLOCK], np.int64)])
+                x = np.concatenate([leads, np.frombuffer(b"".join(prints[a : a + BLOCK]), np.uint64).reshape(-1, WIDE)])
+                lab = np.arange(len(own))
+                for i in range(len(own)):
+                    if i + 1 < len(own):
+                        j = i + 1 + np.flatnonzero(lab[i + 1 :] != lab[i])
+                        j = j[np.bitwise_count(x[j] ^ x[i]).sum(1) <= radius]
+                        for old in np.unique(lab[j]).tolist():
+                            lab[lab == max(old, lab[i])] = min(old, lab[i])
+                roots = np.flatnonzero(lab == np.arange(len(own)))
+                far = np.flatnonzero(lab != np.arange(len(own)))
+                u += own[far].tolist()
+                v += own[lab[far]].tolist()
+                leads, lead_ids = x[roots], own[roots]
+            return u, v
+
+        us, vs = [], []
+        for batch in batches:
+            for k, g, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    if len(ids) > 1:
+                        u, v = solved()
+                        us, vs = us + u, vs + v
+                    key, ids, prints = k, [], []
+                ids.append(g)
+                prints.append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            us, vs = [], []
+        if len(ids) > 1:
+            us, vs = solved()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` but for near copies: of each group the row with the smallest doc_id stays.
+
+    Equal texts are one node from the start. Two texts are near if their
+    512-bit SimHashes of word shingles differ in at most wide_radius(similarity)
+    bits; they meet under equal 16-bit bands, in classes of size two to one (set
+    sizes of near texts differ by at most 1 / similarity). At this radius pivot
+    distances discard nothing, so bands take their place. Pairs at similarity 0.8
+    meet with probability 0.91, at 0.9 with 0.998.
+    """
+    names = docs.columns
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("__g"), F.md5(text).alias("__m"))
+    nodes = keyed.groupBy("__g", "__m").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
+    # one text of each hash stands for it; another with the same 64 bits but other text would stay a node of its own by __m
+    prints = stage(nodes.select(F.xxhash64("__g", "__m").alias("g"), "text").mapInArrow(_wide(width), "g long, fp binary, n long"))
+    size = F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")))
+    up = F.floor(F.log2(F.greatest("n", F.lit(1)) / similarity))
+    band = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("long")
+    keys = F.array(*[F.lit(k << 16) + band(k) for k in range(BANDS)])
+    rows = prints.filter("n > 0").select("g", "fp", F.explode(F.array_distinct(F.array(size, up))).alias("s"), keys.alias("keys"))
+    rows = rows.select(F.explode("keys").alias("k"), "s", "g", "fp").select((F.col("k") * 64 + F.col("s")).alias("key"), "g", "fp")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near(wide_radius(similarity)), "u long, v long")
+    found = components(met)
+    named = nodes.select("__g", "__m", "least", F.xxhash64("__g", "__m").alias("g")).join(found, F.col("g") == F.col("node"), "left")
+    named = named.withColumn("root", F.coalesce("root", "g"))
+    # empty texts are equal texts; null ids come last
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "__m", "__g")).alias("b")).select("b.least", F.col("b.__g").alias("bg"), F.col("b.__m").alias("bm"))
+    kept = keyed.join(best, (F.col("__g") == F.col("bg")) & (F.col("__m") == F.col("bm")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    return kept.dropDuplicates(["__g", "__m"]).select(*[F.col(f"`{c}`") for c in names])

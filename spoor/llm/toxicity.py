@@ -212,7 +212,7 @@ def train(rows: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model, keep: dict[str, Column]) -> DataFrame:
     """The columns of `keep`, then the score of `text`."""
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("text"))
+    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     sent, n = docs.sparkSession.sparkContext.broadcast(model), len(keep)
 
