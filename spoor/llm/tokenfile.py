@@ -115,7 +115,7 @@ class Words:
     special tokens) are encoded whole by the tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 450_000):
         import json
 
         import regex
@@ -135,7 +135,7 @@ class Words:
             self.merge = self.tok.model.tokenize
 
     def _piece(self, piece: str) -> bytes:
-        shown = piece.encode().decode("latin-1").translate(self.letters)
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
     def _learn(self, words: list[str]) -> None:
@@ -145,7 +145,12 @@ class Words:
             self.parts = dict(islice(self.parts.items(), self.bound // 2))
         parts = self.parts
         for w in words:
-            cut = self.pieces(w)
+            if w.isalpha():  # the pattern takes letters in a row as one piece
+                cut = (w,)
+            elif w[-1:] in (".", ",") and w[:-1].isalpha():
+                cut = (w[:-1], w[-1])
+            else:
+                cut = self.pieces(w)
             for p in cut:
                 if p not in parts:
                     parts[p] = self._piece(p)
