@@ -59,6 +59,14 @@ def overlap_percentage(items: DataFrame, docs: DataFrame, n: int, item_key: str
     return flags.agg((F.avg((F.col("shared") > 0).cast("double")) * 100).alias("overlap_percent"), F.count(F.lit(1)).alias("items"))
 
 
+def shard_hits(items: DataFrame, docs: DataFrame, shard: str, n: int, item_key: str = "item_id", text: str = "text") -> DataFrame:
+    """D-03: distinct (shard, item) rows whose n-grams meet, all shards in one scan; a null shard is one of its own."""
+    mine = gram_rows(items, item_key, prompt_text(F.col(text)), n)
+    theirs = docs.select(F.col(shard).alias("shard"), words(F.col("text")).alias("words")).select("shard", F.explode(ngrams(F.col("words"), n)).alias("ngram"))
+    hits = theirs.join(mine.select("ngram").distinct(), "ngram", "left_semi").distinct()
+    return hits.join(mine, "ngram").select("shard", item_key).distinct()
+
+
 def sharded_overlap(hits: DataFrame, items: DataFrame, item_key: str = "item_id") -> DataFrame:
     """D-03: distinct items over all shards' hit lists (shard, item) as a percentage."""
     total = items.agg(F.count(F.lit(1)).alias("total"))

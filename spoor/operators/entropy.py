@@ -22,11 +22,15 @@ def top_candidates(cands: DataFrame, keys: Sequence[str], k: int = 20) -> DataFr
 
 
 def position_entropy(cands: DataFrame, keys: Sequence[str], k: int = 20) -> DataFrame:
-    """E-01 long form: with S = sum exp(lp), the entropy is ln S - sum(exp(lp) lp) / S, one aggregation."""
-    s, t = F.sum(F.exp("logprob")), F.sum(F.exp("logprob") * F.col("logprob"))
-    return top_candidates(cands, keys, k).groupBy(*keys).agg(
-        F.when(s > 0, F.ln(s) - t / s).otherwise(0.0).alias("entropy"), F.count(F.lit(1)).alias("n_candidates")
-    )
+    """E-01 long form: -sum p ln p with p = exp(lp) / sum exp(lp), over the at most k values of a position.
+
+    No difference of large terms is taken: one candidate gives exactly 0, and nothing is negative.
+    """
+    some = top_candidates(cands, keys, k).groupBy(*keys).agg(F.array_sort(F.collect_list(F.exp("logprob"))).alias("e"), F.count(F.lit(1)).alias("n_candidates"))
+    some = some.withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    p = lambda x: x / F.col("s")
+    h = F.aggregate("e", F.lit(0.0), lambda a, x: a - F.when(x > 0, p(x) * F.ln(p(x))).otherwise(0.0))
+    return some.select(*keys, F.when(F.col("s") > 0, F.greatest(h, F.lit(0.0))).otherwise(0.0).alias("entropy"), "n_candidates")
 
 
 def position_probs(cands: DataFrame, keys: Sequence[str], k: int = 20) -> DataFrame:

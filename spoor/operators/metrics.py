@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,8 @@ def _c() -> Column:
 
 
 def _flag() -> Column:
-    return F.col("is_correct").cast("double")
+    """A missing verdict is a wrong answer."""
+    return F.coalesce(F.col("is_correct"), F.lit(False)).cast("double")
 
 
 def counts(evals: DataFrame, keys: Sequence[str] = ("problem_id",), ok: Column | None = None) -> DataFrame:
@@ -66,10 +68,10 @@ def generation_correct(outcomes: DataFrame, keys: Sequence[str] = ("problem_id",
 
 
 def pass_at_k_by(per: DataFrame, by: str, ks: Sequence[int]) -> DataFrame:
-    """M-05: one roll-up per k: overall and per difficulty."""
+    """M-05: one roll-up per k: overall (`all`) and per difficulty; a missing difficulty is `unknown`."""
     rows = per.withColumn("k", _ks(ks)).withColumn("p", pass_at_k(_n(), _c(), F.col("k")))
-    return rows.groupingSets([[F.col("k"), F.col(by)], [F.col("k")]], "k", by).agg(F.avg("p").alias("pass_at_k")).select(
-        "k", F.coalesce(by, F.lit("all")).alias(by), "pass_at_k"
+    return rows.groupingSets([[F.col("k"), F.col(by)], [F.col("k")]], "k", by).agg(F.grouping(by).alias("whole"), F.avg("p").alias("pass_at_k")).select(
+        "k", F.when(F.col("whole") == 1, "all").otherwise(F.coalesce(by, F.lit("unknown"))).alias(by), "pass_at_k"
     )
 
 
@@ -79,29 +81,28 @@ def pass_at_1_percent(evals: DataFrame) -> DataFrame:
 
 
 def task_pass_hat_k(runs: DataFrame, task: Sequence[str], max_k: int, ok: Column) -> DataFrame:
-    """M-08/M-09: pass^k per task for k = 1 .. max_k, one column per k; max_k is capped by the smallest task."""
+    """M-08/M-09: pass^k per task for k = 1 .. max_k, one column per k; null where a task has fewer than k runs."""
     per = counts(runs, task, ok)
     k = lambda i: pass_hat_k(_n(), _c(), F.lit(i))
     return per.select(*task, "n", "c", *[k(i).alias(f"pass_hat_{i}") for i in range(1, max_k + 1)])
 
 
-def max_trials(runs: DataFrame, task: Sequence[str], declared: int) -> int:
-    """M-09: smallest of the declared trials and the runs of any task."""
-    least = runs.groupBy(*task).count().agg(F.min("count")).first()[0]
-    return min(declared, least or 0)
+def max_trials(per: DataFrame) -> DataFrame:
+    """M-09: one row max_k, the runs of the smallest task; larger k are not reported."""
+    return per.agg(F.min("n").alias("max_k"))
 
 
 def agent_metrics(runs: DataFrame, task: Sequence[str], max_k: int, ok: Column, by: Sequence[str] = ()) -> DataFrame:
-    """M-10: mean reward and cost over runs, mean pass^k over tasks."""
+    """M-10: mean reward and cost over runs, mean pass^k over tasks; null for k above the smallest task's runs."""
     g = runs.groupBy(*by).agg(F.avg("reward").alias("avg_reward"), F.avg("agent_cost").alias("avg_agent_cost"))
     per = task_pass_hat_k(runs, [*by, *task], max_k, ok)
-    p = per.groupBy(*by).agg(*[F.avg(f"pass_hat_{i}").alias(f"pass_hat_{i}") for i in range(1, max_k + 1)])
+    p = per.groupBy(*by).agg(*[F.when(F.min("n") >= i, F.avg(f"pass_hat_{i}")).alias(f"pass_hat_{i}") for i in range(1, max_k + 1)])
     return g.join(p, list(by)) if by else g.crossJoin(p)  # one row each
 
 
 def accuracy(results: DataFrame) -> DataFrame:
-    """M-11."""
-    ok, bad = F.col("is_correct"), F.col("error")
+    """M-11. A missing verdict is wrong; a missing error flag is none."""
+    ok, bad = F.coalesce("is_correct", F.lit(False)), F.coalesce("error", F.lit(False))
     return results.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(ok).alias("correct"),
@@ -112,7 +113,8 @@ def accuracy(results: DataFrame) -> DataFrame:
 
 
 def breakdown(results: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """M-12: counts and accuracy per value of each dimension, all dimensions in one scan."""
+    """M-12: counts and accuracy per value of each dimension, all dimensions in one scan; a missing value is `unknown`."""
+    results = results.withColumns({d: F.coalesce(d, F.lit("unknown")) for d in dims})
     sets = [[F.col(d)] for d in dims]
     which = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dims])
     g = results.groupingSets(sets, *dims).agg(
@@ -121,7 +123,7 @@ def breakdown(results: DataFrame, dims: Sequence[str]) -> DataFrame:
         F.count_if("is_correct").alias("correct"),
         F.avg(_flag()).alias("accuracy"),
     )
-    return g.filter(F.coalesce(*dims).isNotNull()).select("dimension", F.coalesce(*dims).alias("value"), "total", "correct", "accuracy")
+    return g.select("dimension", F.coalesce(*dims).alias("value"), "total", "correct", "accuracy")
 
 
 def low_confidence(results: DataFrame, below: float = 0.8) -> DataFrame:
@@ -180,8 +182,8 @@ def domain_performance(results: DataFrame, domains: Sequence[str]) -> DataFrame:
     return rows.groupBy("model").agg(*[F.avg(F.when(F.col("domain") == d, _flag())).alias(d) for d in domains])
 
 
-# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
-POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676]
+# Cumulative Poisson(1) probabilities for 0, 1, 2, ... events, to below the steps of the 32-bit hash.
+POISSON = [round(sum(math.exp(-1) / math.factorial(j) for j in range(i + 1)), 12) for i in range(13)]
 
 
 def bootstrap(results: DataFrame, by: str, id_col: str, reps: int = 100) -> DataFrame:
@@ -306,9 +308,10 @@ def evaluation_table(order: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def failed_tasks(evals: DataFrame) -> DataFrame:
-    """M-33: tasks with any failing sample, with the failing details."""
-    bad = evals.filter("status <> 'pass'")
-    return bad.select("task_id", "sample", "status", "details")
+    """M-33: every sample of the tasks that have a failing one, a missing status included."""
+    failing = F.coalesce(F.col("status") != "pass", F.lit(True))
+    bad = evals.groupBy("task_id").agg(F.max(failing).alias("any")).filter("any").select("task_id")
+    return evals.join(bad, "task_id", "left_semi").select("task_id", "sample", "status", "details")
 
 
 def stored_check(stored: DataFrame, evals: DataFrame, tolerance: float = 1e-4) -> DataFrame:

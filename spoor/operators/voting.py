@@ -104,7 +104,7 @@ def threshold_search(rows: DataFrame, thresholds: Sequence[float] = THRESHOLDS)
     The first row tunes on the labels it reports; `held_out_search` does not.
     """
     acc = threshold_picks(rows, thresholds).groupBy("threshold").agg(
-        F.avg(F.col("is_correct").cast("double")).alias("accuracy"),
+        F.avg(F.coalesce("is_correct", F.lit(False)).cast("double")).alias("accuracy"),  # a missing verdict is wrong
         F.count_if("is_correct").alias("correct_count"),
         F.count(F.lit(1)).alias("total_samples"),
         F.count_if("used_filter").alias("filtered_problems"),

@@ -6,7 +6,7 @@ from ..functions import keys as k
 from ..operators import agent as ag
 from ..operators import metrics as me
 from . import fixtures as fx
-from .q_metrics import MAX_K, full_runs
+from .q_metrics import MAX_K
 from .registry import CTES, query
 
 KS = range(1, MAX_K + 1)
@@ -207,18 +207,18 @@ def a09(spark, sf):
     return out.withColumnsRenamed({"BUILDING|1-URGENT": "building_urgent", "MACHINERY|5-LOW": "machinery_low"})
 
 
-# Per-task pass^k by (llm, mode); modes fold into two so that tasks have several trials each.
+# Per-task pass^k by (llm, mode), null where a task has fewer than k trials; modes fold into two.
 CTES["mode_pass"] = (
     "SELECT *, 'i' || CAST(task_id % 3 AS STRING) AS intent, CASE WHEN task_id % 2 = 0 THEN 'Easy' ELSE 'Hard' END AS persona, t_actions AS num_actions, CASE WHEN t_actions = 0 THEN -1 ELSE task_id % 4 END AS num_issues FROM (SELECT p.*, (task_id % 4 + task_id % 3) AS t_actions, "
-    + ", ".join(f"({' * '.join(f'greatest(c - {i}.0, 0)' for i in range(kk))}) / ({' * '.join(f'(n - {i}.0)' for i in range(kk))}) AS pass_hat_{kk}" for kk in (1, 2))
-    + " FROM (SELECT llm, domain, CASE WHEN mode < '3' THEN 'default' ELSE 'no-user' END AS mode, task_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (abs(reward - 1) <= 1e-6) AS DOUBLE) AS c FROM runs GROUP BY ALL HAVING count(*) >= 2) p)"
+    + ", ".join(f"CASE WHEN n >= {kk} THEN ({' * '.join(f'greatest(c - {i}.0, 0)' for i in range(kk))}) / ({' * '.join(f'(n - {i}.0)' for i in range(kk))}) END AS pass_hat_{kk}" for kk in (1, 2))
+    + " FROM (SELECT llm, domain, CASE WHEN mode < '3' THEN 'default' ELSE 'no-user' END AS mode, task_id, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (abs(reward - 1) <= 1e-6) AS DOUBLE) AS c FROM runs GROUP BY ALL) p)"
 )
 K2 = [1, 2]
 
 
 def mode_pass(spark, sf):
     r = fx.runs(spark, sf).withColumn("mode", F.when(F.col("mode") < "3", "default").otherwise("no-user"))
-    per = me.task_pass_hat_k(r, ["llm", "domain", "mode", "task_id"], 2, k.succeeded_strictly(F.col("reward"))).filter("n >= 2")
+    per = me.task_pass_hat_k(r, ["llm", "domain", "mode", "task_id"], 2, k.succeeded_strictly(F.col("reward")))
     t = F.col("task_id")
     size = (t % 4 + t % 3)
     return per.withColumns(
@@ -331,13 +331,13 @@ def a20(spark, sf):
 
 
 _PK = ", ".join(f"avg(pass_hat_{i}) * 100 AS pass_{i}" for i in KS)
-CTES["board"] = f"SELECT p.*, c.cost FROM (SELECT llm, domain, {_PK} FROM task_pass GROUP BY llm, domain) p JOIN (SELECT llm, domain, avg(agent_cost) AS cost FROM full_runs GROUP BY llm, domain) c ON c.llm = p.llm AND c.domain = p.domain"
+CTES["board"] = f"SELECT p.*, c.cost FROM (SELECT llm, domain, {_PK} FROM task_pass GROUP BY llm, domain) p JOIN (SELECT llm, domain, avg(agent_cost) AS cost FROM runs GROUP BY llm, domain) c ON c.llm = p.llm AND c.domain = p.domain"
 _PKD = " ".join(f"pass_{i}" for i in KS) + " cost"
 
 
 @query("A21_leaderboard", "SELECT * FROM board", _PKD)
 def a21(spark, sf):
-    return ag.leaderboard(full_runs(spark, sf), list(KS))
+    return ag.leaderboard(fx.runs(spark, sf), list(KS))
 
 
 @query(
@@ -346,7 +346,7 @@ def a21(spark, sf):
     "submitted computed",
 )
 def a22(spark, sf):
-    board = ag.leaderboard(full_runs(spark, sf), list(KS))
+    board = ag.leaderboard(fx.runs(spark, sf), list(KS))
     sub = board.withColumn("pass_1", F.when(F.col("domain") == "ASIA", F.col("pass_1") + 1).otherwise(F.col("pass_1")))
     sub = sub.withColumn("cost", F.when(F.col("domain") != "EUROPE", F.col("cost")))
     return ag.submission_check(sub, board, ["pass_1", "pass_2", "cost"], tolerance=1e-9)

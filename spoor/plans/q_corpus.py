@@ -58,14 +58,8 @@ def j09(spark, sf):
     "overlap_percent",
 )
 def d03(spark, sf):
-    """Hit lists per language shard, as separate runs would leave them, then their union."""
-    hits = None
-    for shard in ("en", "de", "fr", "es", "other"):
-        known = ["en", "de", "fr", "es"]
-        part = docs(spark, sf).filter(~F.col("lang").isin(known) if shard == "other" else F.col("lang") == shard)
-        h = co.shared_grams(items(spark, sf), part, N).select("item_id").distinct().withColumn("shard", F.lit(shard))
-        hits = h if hits is None else hits.unionByName(h)
-    return co.sharded_overlap(hits, items(spark, sf))
+    """Hit lists per shard (here the language, null included) from one scan, then their union."""
+    return co.sharded_overlap(co.shard_hits(items(spark, sf), docs(spark, sf), "lang", N), items(spark, sf))
 
 
 # Every tenth vector is a document, the others are queries.

@@ -6,6 +6,7 @@ from ..functions import keys as k
 from ..operators import entropy as en
 from ..operators import joins as jo
 from ..operators import metrics as me
+from ..operators.agent import long_pass
 from . import fixtures as fx
 from .inputs import centroids, traces
 from .q_confidence import online
@@ -244,55 +245,44 @@ def m07(spark, sf):
 
 
 MAX_K = 4
-CTES["full_runs"] = f"SELECT * FROM runs WHERE task_id IN (SELECT task_id FROM runs GROUP BY task_id HAVING count(*) >= {MAX_K})"
 
 
 def _comb(c, kk):
     return "(" + " * ".join(f"greatest(CAST({c} AS DOUBLE) - {i}, 0)" for i in range(kk)) + ")"
 
 
-CTES["task_pass"] = "SELECT task_id, llm, domain, n, c, " + ", ".join(f"{_comb('c', i)} / {_comb('n', i)} AS pass_hat_{i}" for i in range(1, MAX_K + 1)) + (
-    " FROM (SELECT task_id, llm, domain, count(*) AS n, count(*) FILTER (abs(reward - 1) <= 1e-6) AS c FROM full_runs GROUP BY task_id, llm, domain)"
+CTES["task_pass"] = "SELECT task_id, llm, domain, n, c, " + ", ".join(f"CASE WHEN n >= {i} THEN {_comb('c', i)} / {_comb('n', i)} END AS pass_hat_{i}" for i in range(1, MAX_K + 1)) + (
+    " FROM (SELECT task_id, llm, domain, count(*) AS n, count(*) FILTER (abs(reward - 1) <= 1e-6) AS c FROM runs GROUP BY task_id, llm, domain)"
 )
 PH = " ".join(f"pass_hat_{i}" for i in range(1, MAX_K + 1))
 
 
-def full_runs(spark, sf):
-    """Runs of tasks with enough trials for pass^k."""
-    r = fx.runs(spark, sf)
-    enough = r.groupBy("task_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MAX_K).select("task_id")
-    return r.join(enough, "task_id", "left_semi")
-
-
 @query("M08_task_pass_hat_k", f"SELECT task_id, n, c, {PH.replace(' ', ', ')} FROM task_pass", PH)
 def m08(spark, sf):
-    return me.task_pass_hat_k(full_runs(spark, sf), ["task_id"], MAX_K, k.succeeded_strictly(F.col("reward")))
+    return me.task_pass_hat_k(fx.runs(spark, sf), ["task_id"], MAX_K, k.succeeded_strictly(F.col("reward")))
 
 
 @query(
     "M09_pass_hat_k_long",
-    " UNION ALL ".join(f"SELECT {i} AS k, avg(pass_hat_{i}) AS mean_pass FROM task_pass" for i in range(1, MAX_K + 1)),
+    " UNION ALL ".join(f"SELECT {i} AS k, avg(pass_hat_{i}) AS mean_pass FROM task_pass HAVING min(n) >= {i}" for i in range(1, MAX_K + 1)),
     "mean_pass",
 )
 def m09(spark, sf):
-    runs = full_runs(spark, sf)
-    top = me.max_trials(runs, ["task_id"], MAX_K)
-    per = me.task_pass_hat_k(runs, ["task_id"], top, k.succeeded_strictly(F.col("reward")))
-    from ..operators.agent import long_pass
-
-    return long_pass(per, range(1, top + 1), []).groupBy("k").agg(F.avg("p").alias("mean_pass"))
+    per = me.task_pass_hat_k(fx.runs(spark, sf), ["task_id"], MAX_K, k.succeeded_strictly(F.col("reward")))
+    means = long_pass(per, range(1, MAX_K + 1), []).groupBy("k").agg(F.avg("p").alias("mean_pass"))
+    return means.crossJoin(F.broadcast(me.max_trials(per))).filter("k <= max_k").drop("max_k")  # one row
 
 
 @query(
     "M10_agent_metrics",
-    "SELECT r.*, p.* FROM (SELECT avg(reward) AS avg_reward, avg(agent_cost) AS avg_agent_cost FROM full_runs) r, (SELECT " + ", ".join(f"avg(pass_hat_{i}) AS pass_hat_{i}" for i in range(1, MAX_K + 1)) + " FROM task_pass) p",
+    "SELECT r.*, p.* FROM (SELECT avg(reward) AS avg_reward, avg(agent_cost) AS avg_agent_cost FROM runs) r, (SELECT " + ", ".join(f"CASE WHEN min(n) >= {i} THEN avg(pass_hat_{i}) END AS pass_hat_{i}" for i in range(1, MAX_K + 1)) + " FROM task_pass) p",
     "avg_reward avg_agent_cost " + PH,
 )
 def m10(spark, sf):
-    return me.agent_metrics(full_runs(spark, sf), ["task_id"], MAX_K, k.succeeded_strictly(F.col("reward")))
+    return me.agent_metrics(fx.runs(spark, sf), ["task_id"], MAX_K, k.succeeded_strictly(F.col("reward")))
 
 
-CTES["results"] = """SELECT d.doc_id AS id, l.quality = 1 AS is_correct, d.n_chars < 200 AS error, d.lang AS comparison_method, d.source AS extraction_method,
+CTES["results"] = """SELECT d.doc_id AS id, l.quality = 1 AS is_correct, CASE WHEN d.doc_id % 13 <> 0 THEN d.n_chars < 200 END AS error, CASE WHEN d.doc_id % 11 <> 0 THEN d.lang END AS comparison_method, d.source AS extraction_method,
   CASE WHEN l.toxic = 1 THEN 'logic' ELSE 'math' END AS task_type, concat(CASE WHEN l.toxic = 1 THEN 'logic' ELSE 'math' END, '/', d.lang) AS subtask,
   CASE WHEN d.doc_id % 5 = 0 THEN 0.5 WHEN d.doc_id % 5 = 1 THEN NULL ELSE 1.0 END AS comparison_confidence, CASE WHEN d.doc_id % 7 = 0 THEN 0.0 ELSE 0.8 END AS extraction_confidence
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
@@ -305,8 +295,8 @@ def results(spark, sf):
     return j.select(
         F.col("doc_id").alias("id"),
         (F.col("quality") == 1).alias("is_correct"),
-        (F.col("n_chars") < 200).alias("error"),
-        F.col("lang").alias("comparison_method"),
+        F.when(F.col("doc_id") % 13 != 0, F.col("n_chars") < 200).alias("error"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("lang")).alias("comparison_method"),
         F.col("source").alias("extraction_method"),
         task.alias("task_type"),
         F.concat(task, F.lit("/"), "lang").alias("subtask"),
@@ -317,7 +307,7 @@ def results(spark, sf):
 
 @query(
     "M11_accuracy",
-    "SELECT count(*) AS total, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct AND NOT error) AS incorrect, count(*) FILTER (error) AS failed_extraction, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS accuracy FROM results",
+    "SELECT count(*) AS total, count(*) FILTER (is_correct) AS correct, count(*) FILTER (NOT is_correct AND NOT coalesce(error, false)) AS incorrect, count(*) FILTER (error) AS failed_extraction, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS accuracy FROM results",
     "accuracy",
 )
 def m11(spark, sf):
@@ -330,7 +320,7 @@ _DIMS = ["comparison_method", "extraction_method", "task_type", "subtask"]
 @query(
     "M12_breakdown",
     " UNION ALL ".join(
-        f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS total, count(*) FILTER (is_correct) AS correct, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS accuracy FROM results GROUP BY {d}"
+        f"SELECT '{d}' AS dimension, coalesce({d}, 'unknown') AS value, count(*) AS total, count(*) FILTER (is_correct) AS correct, avg(CASE WHEN is_correct THEN 1.0 ELSE 0.0 END) AS accuracy FROM results GROUP BY {d}"
         for d in _DIMS
     ),
     "accuracy",
@@ -569,7 +559,7 @@ def m32(spark, sf):
     return me.evaluation_table(order, res)
 
 
-@query("M33_failed_tasks", "SELECT l_orderkey AS task_id, l_linenumber AS sample, l_returnflag AS status, l_linestatus AS details FROM lineitem WHERE l_returnflag <> 'N'")
+@query("M33_failed_tasks", "SELECT l_orderkey AS task_id, l_linenumber AS sample, status, l_linestatus AS details FROM (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'pass' ELSE l_returnflag END AS status FROM lineitem) l WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N')")
 def m33(spark, sf):
     li = fx.table(spark, sf, "lineitem")
     e = li.select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("sample"), F.when(F.col("l_returnflag") == "N", "pass").otherwise(F.col("l_returnflag")).alias("status"), F.col("l_linestatus").alias("details"))

@@ -57,6 +57,14 @@ def last_wins(stream: DataFrame, key: str, order: str, path: str, checkpoint: st
     q.awaitTermination()
 
 
+def newest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """T-02: the table that the last batch of `last_wins` left; the path may be in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
+    return spark.read.schema(schema).parquet(f"{path}/v={max(versions)}")
+
+
 def _ordered_fold(stream: DataFrame, step: Callable, out: str, state: str, start: tuple, order: str = "position") -> DataFrame:
     """Per trajectory: `step(state, rows sorted by order) -> (state, output rows)` with the state kept between batches."""
 
