@@ -74,47 +74,44 @@ def sharded_overlap(hits: DataFrame, items: DataFrame, item_key: str = "item_id"
     return found.crossJoin(total).withColumn("overlap_percent", F.col("found") / F.col("total") * 100)  # one row each
 
 
-BLOCK = 50_000  # document vectors held by a task at once
+BLOCK = 16_384  # vectors of either side that a task holds at once
 
 
-def _best_of(ids: np.ndarray, shared):
-    @F.pandas_udf("doc long, score double")
-    def best(v: pd.Series) -> pd.DataFrame:
-        s = np.stack(v.to_numpy()).astype(np.float64) @ shared.value.T
-        at = s.argmax(axis=1)
-        return pd.DataFrame({"doc": ids[at], "score": s[np.arange(len(s)), at]})
-
-    return best
+def _best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+    """Of one block of queries and one of documents: the best document of each query."""
+    if q.empty or d.empty:
+        return pd.DataFrame({"query_id": q["query_id"][:0], "doc_id": d["doc_id"][:0], "score": np.zeros(0)})
+    d = d.sort_values("doc_id")
+    m = np.stack(d["document"].to_numpy()).astype(np.float64).T
+    ids, at, top = d["doc_id"].to_numpy(), [], []
+    for a in range(0, len(q), 1024):
+        s = np.stack(q["query"].to_numpy()[a : a + 1024]).astype(np.float64) @ m
+        i = s.argmax(axis=1)
+        at.append(i)
+        top.append(s[np.arange(len(s)), i])
+    return pd.DataFrame({"query_id": q["query_id"], "doc_id": ids[np.concatenate(at)], "score": np.concatenate(top)})
 
 
 def nearest(queries: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """J-10/D-04: best document per query by inner product; equal scores take the smaller id.
 
-    queries: query_id, embedding (any size); docs: doc_id, embedding. Documents
-    are counted and sent in blocks of at most `block` vectors; each pass streams
-    the queries once through a matrix product and keeps one row per query, so no
-    pair is ever written. Several blocks are reduced by a grouped maximum.
+    queries: query_id, embedding; docs: doc_id, embedding, both of any size. Both
+    sides are dealt into blocks of about `block` vectors by hash of id; every
+    query block meets every document block once, in a task of its own, in a matrix
+    product that leaves one row per query. A grouped minimum joins the blocks.
+    Nothing passes through the driver.
     """
-    n = docs.count()
-    blocks = max(1, -(-n // block))
-    part = docs.withColumn("__b", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        got = part.filter(F.col("__b") == b).drop("__b").orderBy("doc_id").limit(2 * block + 1).toPandas()
-        if len(got) > 2 * block:
-            raise ValueError("document block above its bound; raise `block`")
-        if got.empty:
-            continue
-        ids = got["doc_id"].to_numpy()
-        shared = queries.sparkSession.sparkContext.broadcast(np.stack(got["embedding"].to_numpy()).astype(np.float64))
-        one = queries.withColumn("m", _best_of(ids, shared)("embedding")).select("query_id", F.col("m.doc").alias("doc_id"), F.col("m.score").alias("score"))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return queries.select("query_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("double").alias("score")).limit(0)
-    if blocks == 1:
-        return out
+    blocks = lambda df, name: df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.lit(1)).cast("int").alias(name))
+    sizes = F.broadcast(blocks(queries, "nq").crossJoin(blocks(docs, "nd")))  # one row
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = queries.crossJoin(sizes).select("query_id", F.col("embedding").alias("query"), own("query_id", "nq").alias("qb"), every("nd").alias("db"))
+    # the other side's columns are new ones, since both may come from one table
+    d = docs.crossJoin(sizes).select("doc_id", F.col("embedding").alias("document"), own("doc_id", "nd").alias("db"), every("nq").alias("qb"))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    met = q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(_best, f"query_id {kind(queries, 'query_id')}, doc_id {kind(docs, 'doc_id')}, score double")
     b = F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("b")
-    return out.groupBy("query_id").agg(b).select("query_id", F.col("b.doc_id").alias("doc_id"), (-F.col("b.s")).alias("score"))
+    return met.groupBy("query_id").agg(b).select("query_id", F.col("b.doc_id").alias("doc_id"), (-F.col("b.s")).alias("score"))
 
 
 def top_percent(matches: DataFrame, percent: float) -> DataFrame:

@@ -85,11 +85,11 @@ def d04(spark, sf):
 
 @query("J10_nearest_blocked", "SELECT query_id, doc_id, score FROM match_rows", "score")
 def j10(spark, sf):
-    """The same join with the documents in several blocks."""
+    """The same join with both sides in several blocks."""
     e = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
     q = e.filter("vec_id % 10 <> 0").withColumnRenamed("vec_id", "query_id")
     d = e.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "doc_id")
-    return co.nearest(q, d, block=max(1, d.count() // 3))
+    return co.nearest(q, d, block=20)
 
 
 @query("D05_top_percent", "SELECT query_id, doc_id, score FROM match_rows WHERE round(score, 9) > (SELECT round(quantile_cont(score, 0.9), 9) FROM match_rows)", "score")
