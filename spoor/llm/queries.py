@@ -60,7 +60,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs, held = table(spark, sf, "documents"), fold("doc_id", 3) == 1
     labels = table(spark, sf, "labels").filter(fold("doc_id", 3) != 1).select("doc_id", "toxic")
-    model = toxicity.train(docs.filter(~held).select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.train(toxicity.labelled(docs.filter(~held), labels))
     out = toxicity.scored(docs, model, {"doc_id": F.col("doc_id"), "held_out": held})
     return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

@@ -25,9 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .common import WORDS, encoded, mix, steps
 
 GRAM_BITS = 21
@@ -71,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["gram", "toxic", "plain"])
 
     for batch in batches:
-        label, texts = batch.column(0).to_numpy(), encoded(batch.column(1))
+        label, texts = batch.column(0).to_numpy(), _unpacked(batch.column(1))
         for a, z in steps(texts):
             gram, off = _grams(texts[a:z])
             toxic = np.repeat(label[a:z] == 1, np.diff(off))
@@ -90,10 +92,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_ratios(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio) of grams seen, and (left, ratio) of three bytes before a gram not seen, from (toxic, text) rows."""
-    rows = rows.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").cast("string").alias("text"))
-    grams = rows.mapInArrow(_count, "gram long, toxic long, plain long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    grams = grams.withColumns({"left": F.shiftright("gram", 8), "tri": F.col("gram").bitwiseAND(F.lit(0xFFFFFF)), "bi": F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)), "own": F.col("gram").bitwiseAND(F.lit(0xFF))})
+    """(gram, ratio) of grams seen, and (left, ratio) of three bytes before a gram not seen, from (toxic, packed) rows."""
+    grams = rows.select("toxic", "packed").mapInArrow(_count, "gram long, toxic long, plain long").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    grams = stage(grams).withColumns({"left": F.shiftright("gram", 8), "tri": F.col("gram").bitwiseAND(F.lit(0xFFFFFF)), "bi": F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)), "own": F.col("gram").bitwiseAND(F.lit(0xFF))})
     some = lambda c, n: F.sum((F.col(c) > 0).cast("long")).alias(n)
     lefts = grams.groupBy("left").agg(F.sum("toxic").alias("nt"), F.sum("plain").alias("np"), some("toxic", "tt"), some("plain", "tp"))
     tri = grams.groupBy("tri", "bi", "own").agg(F.count(F.lit(1)).alias("d3"))
@@ -189,9 +190,30 @@ def fitted_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
     return float(w[0] - w[1] * m / s), float(w[1] / s)
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        z = zstandard.ZstdCompressor(level=1)
+        small = pa.array([z.compress(t) for t in encoded(batch.column(1))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), small], names=["doc_id", "packed"])
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    return [zstandard.decompress(x) for x in column.to_pylist()]
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, packed, toxic: the texts that have a label of 0 or 1, compressed for the exchange and written once.
+
+    Labels grow with the corpus, so both sides are dealt by doc_id at every size.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pack_texts, f"doc_id {kind}, packed binary")
+    known = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return stage(texts.join(known.hint("merge"), "doc_id"))
+
+
 def train(rows: DataFrame) -> Model:
-    """A model of (doc_id, text, toxic) rows."""
-    rows = rows.filter(F.col("toxic").isin(0, 1)).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    """A model of the rows that `labelled` gives."""
     order = F.xxhash64(F.lit("curve"), "doc_id")
     held = F.pmod(order, F.lit(CALIBRATION)) == 0
     known, lefts = log_ratios(rows.filter(~held))
@@ -200,10 +222,10 @@ def train(rows: DataFrame) -> Model:
 
     def ratio(batches):
         for batch in batches:
-            x = sent.value.ratios(encoded(batch.column(2)))
+            x = sent.value.ratios(_unpacked(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x)], names=["o", "y", "x"])
 
-    part = rows.filter(held).select(order.alias("o"), F.col("toxic").alias("y"), F.col("text").cast("string")).mapInArrow(ratio, "o long, y int, x double")
+    part = rows.filter(held).select(order.alias("o"), F.col("toxic").alias("y"), "packed").mapInArrow(ratio, "o long, y int, x double")
     got = part.orderBy("o", "y", "x").limit(CURVE_ROWS).collect()
     model.curve = fitted_curve(np.array([r.x for r in got]), np.array([r.y for r in got], float))
     sent.unpersist()
