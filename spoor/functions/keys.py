@@ -94,10 +94,10 @@ def model_from_path(path: Column) -> Column:
     """S-09: `org/model` from a run directory name.
 
     The part holding the model size (14B, 120b) is the model and the part before
-    it the organisation; a last folder without a size defers to its parent.
+    it the organisation, if there is one; a last folder without a size defers to its parent.
     """
     parts = F.split(path, "/")
     leaf, parent = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
     name = F.split(F.when(leaf.rlike(r"\d+[bB]"), leaf).otherwise(F.coalesce(parent, leaf)), "_")
     at = F.array_position(F.transform(name, lambda p: p.rlike(r"\d+[bB]")), True)
-    return F.when(at > 1, F.concat_ws("/", F.get(name, (at - 2).cast("int")), F.get(name, (at - 1).cast("int"))))
+    return F.when(at > 1, F.concat_ws("/", F.get(name, (at - 2).cast("int")), F.get(name, (at - 1).cast("int")))).when(at == 1, F.get(name, F.lit(0)))

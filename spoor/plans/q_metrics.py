@@ -549,13 +549,13 @@ def m31b(spark, sf):
 
 @query(
     "M32_evaluation_table",
-    "SELECT concat('p', CAST(o_custkey AS STRING), '_traj_', CAST(g AS STRING)) AS traj_id, o_custkey AS problem_id, CASE g WHEN 0 THEN o_orderkey % 2 > 0 ELSE (o_orderkey % 3 > 0 AND o_orderkey % 5 > 0) END AS is_correct FROM (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey), (SELECT range AS g FROM range(2))",
+    "SELECT concat('p', CAST(o_orderkey AS STRING), '_traj_', CAST(g AS STRING)) AS traj_id, o_orderkey AS problem_id, CASE g WHEN 0 THEN o_orderkey % 2 > 0 ELSE (o_orderkey % 3 > 0 AND o_orderkey % 5 > 0) END AS is_correct FROM orders, (SELECT range AS g FROM range(2))",
 )
 def m32(spark, sf):
-    o = fx.table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o"))
-    base = F.concat(F.lit("p"), F.col("o_custkey").cast("string"), F.lit("_traj_"))
-    order = o.select(F.col("o_custkey").alias("problem_id"), F.array(F.concat(base, F.lit("0")), F.concat(base, F.lit("1"))).alias("traj_ids"))
-    res = o.select(F.col("o_custkey").alias("problem_id"), F.array(F.array(F.col("o") % 2), F.array(F.col("o") % 3, F.col("o") % 5)).alias("outcomes"))
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("o"))
+    base = F.concat(F.lit("p"), F.col("o").cast("string"), F.lit("_traj_"))
+    order = o.select(F.col("o").alias("problem_id"), F.array(F.concat(base, F.lit("0")), F.concat(base, F.lit("1"))).alias("traj_ids"))
+    res = o.select(F.col("o").alias("problem_id"), F.array(F.array(F.col("o") % 2), F.array(F.col("o") % 3, F.col("o") % 5)).alias("outcomes"))
     return me.evaluation_table(order, res)
 
 

@@ -104,7 +104,7 @@ def s08(spark, sf):
 
 @query(
     "S09_model_from_path",
-    "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN NULL ELSE concat('org', CAST(page_id % 5 AS STRING), '/Model-', CAST(page_id % 9 + 1 AS STRING), 'B-chat') END AS model FROM pages",
+    "SELECT page_id, CASE WHEN page_id % 6 = 5 THEN concat('Model-', CAST(page_id % 9 + 1 AS STRING), 'B-chat') WHEN page_id % 3 = 2 THEN NULL ELSE concat('org', CAST(page_id % 5 AS STRING), '/Model-', CAST(page_id % 9 + 1 AS STRING), 'B-chat') END AS model FROM pages",
 )
 def s09(spark, sf):
     n = F.col("page_id")
@@ -112,6 +112,7 @@ def s09(spark, sf):
     path = (
         F.when(n % 3 == 0, F.concat_ws("_", F.lit("out/set_x"), org, model, F.lit("n64")))
         .when(n % 3 == 1, F.concat(F.lit("out/"), F.concat_ws("_", org, model), F.lit("/airline")))
+        .when(n % 6 == 5, F.concat(F.lit("out/"), model, F.lit("_x_n64")))
         .otherwise("out/unknown_run")
     )
     return fx.table(spark, sf, "pages").select("page_id", k.model_from_path(path).alias("model"))

@@ -1,7 +1,5 @@
 """Streaming jobs run over the given tables as sources, available data once (T-01 .. T-08)."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import jobs
@@ -102,16 +100,16 @@ def _token_stream(spark, sf):
         from ..operators.phases import thresholds
 
         t = fx.tokens(spark, sf)
-        return t.join(thresholds(t), "traj_id").select("traj_id", "position", "token_id", "entropy", "high", "low")
+        ends = t.groupBy("traj_id").agg(F.max("position").alias("end"))
+        t = t.join(thresholds(t).join(ends, "traj_id"), "traj_id")
+        return t.select("traj_id", "position", "token_id", "entropy", "high", "low", (F.col("position") == F.col("end")).alias("last"))
 
     return _as_stream(spark, sf, "tokens", build)
 
 
 @query(
     "T06_live_phases",
-    """SELECT f.traj_id, CAST(f.start AS BIGINT) AS start, f.duration FROM found_phases f
-    JOIN (SELECT traj_id, position, count(entropy) OVER (PARTITION BY traj_id ORDER BY position) AS n_idx, count(entropy) OVER (PARTITION BY traj_id) AS n FROM tokens) t
-    ON t.traj_id = f.traj_id AND t.position = f.start WHERE t.n_idx + f.duration + 2 <= t.n""",
+    "SELECT traj_id, CAST(start AS BIGINT) AS start, duration FROM found_phases",
 )
 def t06(spark, sf):
     s = _token_stream(spark, sf).drop("token_id")
@@ -131,7 +129,8 @@ def t07(spark, sf):
 @query("T08_running_votes", "SELECT problem_id, extracted_answer, count(*) AS votes, count(*) FILTER (is_correct) AS correct FROM evals GROUP BY problem_id, extracted_answer")
 def t08(spark, sf):
     s = _as_stream(spark, sf, "evals", lambda: fx.evals(spark, sf))
-    return jobs.collect_updates(jobs.running_votes(s), f"votes_{uuid.uuid4().hex}", f"{_dir(spark, 't08')}-checkpoint")
+    out = _dir(spark, "t08")
+    return jobs.collect_updates(jobs.running_votes(s), out, f"{out}-checkpoint")
 
 
 @query(
@@ -141,5 +140,6 @@ def t08(spark, sf):
 )
 def t08b(spark, sf):
     counts = jobs.tumbling_counts(_events(spark, sf), "ts", "1 day", "1 hour")
-    got = jobs.collect_updates(counts, f"days_{uuid.uuid4().hex}", f"{_dir(spark, 't08b')}-checkpoint")
+    out = _dir(spark, "t08b")
+    got = jobs.collect_updates(counts, out, f"{out}-checkpoint")
     return got.select(F.unix_timestamp("window.start").alias("day_start"), "event_type", "n", "mean_value")

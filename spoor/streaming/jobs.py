@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, form: str = "parquet") -> DataFrame:
@@ -57,8 +58,8 @@ def last_wins(stream: DataFrame, key: str, order: str, path: str, checkpoint: st
     q.awaitTermination()
 
 
-def newest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """T-02: the table that the last batch of `last_wins` left; the path may be in any store that Spark reads."""
+def newest(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """T-02/T-08: the table that the last batch left in a versioned folder; the path may be in any store that Spark reads."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
@@ -66,13 +67,20 @@ def newest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def _ordered_fold(stream: DataFrame, step: Callable, out: str, state: str, start: tuple, order: str = "position") -> DataFrame:
-    """Per trajectory: `step(state, rows sorted by order) -> (state, output rows)` with the state kept between batches."""
+    """Per trajectory: `step(state, rows sorted by order) -> (state, output rows)` with the state kept between batches.
+
+    A state of None means that the trajectory has ended: nothing of it is kept.
+    """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], gs: GroupState) -> Iterator[pd.DataFrame]:
         s = gs.get if gs.exists else start
         rows = pd.concat(list(chunks)).sort_values(order)  # one batch of one trajectory; the trigger bounds it
         s, got = step(key[0], s, rows)
-        gs.update(tuple(s))
+        if s is None:
+            if gs.exists:
+                gs.remove()
+        else:
+            gs.update(tuple(s))
         if got:
             yield pd.DataFrame(got)
 
@@ -122,11 +130,16 @@ def merged_turns(stream: DataFrame) -> DataFrame:
 
 
 def live_phases(stream: DataFrame, cons: int) -> DataFrame:
-    """T-06: rows traj_id, position, entropy, high, low; emits phases as they close. Open phases stay in the state."""
+    """T-06: rows traj_id, position, entropy, high, low, last; emits phases as they close.
+
+    The token marked `last` ends its trajectory: a phase still open is emitted
+    with all its tokens, and the state is freed.
+    """
 
     def step(key, state, rows):
         inside, start, length, lows = bool(state[0]), int(state[1]), int(state[2]), int(state[3])
         got = []
+        ended = bool(rows["last"].any())
         for p, e, h, lo in zip(rows["position"], rows["entropy"], rows["high"], rows["low"]):
             if pd.isna(e):
                 continue
@@ -139,7 +152,9 @@ def live_phases(stream: DataFrame, cons: int) -> DataFrame:
             if lows >= cons:
                 got.append({"traj_id": key, "start": start, "duration": length - cons})
                 inside, length, lows = False, 0, 0
-        return (inside, start, length, lows), got
+        if ended and inside:
+            got.append({"traj_id": key, "start": start, "duration": length})
+        return None if ended else (inside, start, length, lows), got
 
     return _ordered_fold(
         stream, step, "traj_id string, start long, duration long", "inside boolean, start long, length long, lows long", (False, -1, 0, 0)
@@ -179,11 +194,15 @@ def tumbling_counts(stream: DataFrame, time: str, width: str, delay: str) -> Dat
     return g.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
 
 
-def collect_updates(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run an aggregation over what is available and return its table (bounded by its groups)."""
-    q = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def collect_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregation over what is available; each batch writes its whole table as the next version of `path`.
+
+    The newest version is returned. Executors write it, so its size is not the driver's concern.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return newest(stream.sparkSession, path, stream.schema)
