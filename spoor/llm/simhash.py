@@ -218,11 +218,11 @@ def wide_radius(similarity: float) -> int:
 
 
 def _wide(width: int):
-    """Per text: hash of the lower-cased words, WIDE fingerprint words of its distinct shingles, and how many there are."""
+    """Per text, behind its other columns: WIDE fingerprint words of its distinct word shingles, and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column(1))
+            texts = encoded(batch.columns[-1])
             for a, z in steps(texts, 1 << 19):
                 h, off = hashed_words([t.lower() for t in texts[a:z]], _ASCII_BLANKS)
                 sets = []
@@ -236,8 +236,8 @@ def _wide(width: int):
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
                 flat = np.concatenate(sets)
                 prints = np.stack([majority(mix(flat + np.uint64(k * 0x9E37)), ends) for k in range(WIDE)], 1)
-                cols = [batch.column(0).slice(a, z - a), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(np.diff(ends))]
-                yield pa.RecordBatch.from_arrays(cols, names=["g", "fp", "n"])
+                cols = [*[c.slice(a, z - a) for c in batch.columns[:-1]], pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(np.diff(ends))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "fp", "n"])
 
     return run
 
@@ -300,9 +300,12 @@ def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("__g"), F.md5(text).alias("__m"))
-    nodes = keyed.groupBy("__g", "__m").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    # one text of each hash stands for it; another with the same 64 bits but other text would stay a node of its own by __m
-    prints = stage(nodes.select(F.xxhash64("__g", "__m").alias("g"), "text").mapInArrow(_wide(width), "g long, fp binary, n long"))
+    each = keyed.select("doc_id", "__g", "__m", text.alias("text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in each.schema.fields[:-1])
+    each = each.mapInArrow(_wide(width), f"{kinds}, fp binary, n long")
+    nodes = stage(each.groupBy("__g", "__m").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    # a text is known by both hashes; as a node by one made of them
+    prints = nodes.select(F.xxhash64("__g", "__m").alias("g"), "fp", "n")
     size = F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")))
     up = F.floor(F.log2(F.greatest("n", F.lit(1)) / similarity))
     band = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("long")
@@ -315,5 +318,7 @@ def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8
     named = named.withColumn("root", F.coalesce("root", "g"))
     # empty texts are equal texts; null ids come last
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "__m", "__g")).alias("b")).select("b.least", F.col("b.__g").alias("bg"), F.col("b.__m").alias("bm"))
-    kept = keyed.join(best, (F.col("__g") == F.col("bg")) & (F.col("__m") == F.col("bm")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    # not an equality, so that both steps are dealt by the text's hashes
+    chosen = F.coalesce(F.col("doc_id") == F.col("least"), F.col("doc_id").isNull() & F.col("least").isNull())
+    kept = keyed.join(best, (F.col("__g") == F.col("bg")) & (F.col("__m") == F.col("bm")) & chosen)
     return kept.dropDuplicates(["__g", "__m"]).select(*[F.col(f"`{c}`") for c in names])
