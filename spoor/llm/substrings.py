@@ -41,10 +41,10 @@ from .common import encoded, mix, powers, steps
 
 WIDTH = 200
 GRAM = 32
-#: Different pieces of one key that a shard may hold; about 1.2 MB of text.
-HOT = 4096
+#: Different pieces of one key that a shard may hold; about 0.7 MB of text.
+HOT = 2048
 #: Bytes of one suffix array, unless a key alone has more (HOT bounds that).
-SHARD = 2 << 20
+SHARD = 1 << 20
 
 
 # ---------------------------------------------------------------- windows and pieces
