@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,25 +35,25 @@ _END = ""  # key of a node's own piece: no character is empty
 
 
 class Pieces:
-    def __init__(self, path: str, bound: int = 200_000):
+    def __init__(self, path: str, bound: int = 450_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.root: dict = {}
-        self.raw: list[bytes] = []
+        raws: list[bytes] = []
         self.byte: dict[int, int] = {}
         least = 0.0
         for i in range(n):
             piece, score = sp.id_to_piece(i), sp.get_score(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
-                self.raw.append(bytes([int(piece[3:5], 16)]))
+                raws.append(bytes([int(piece[3:5], 16)]))
                 continue
             if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.raw.append(" ⁇ ".encode() if sp.is_unknown(i) else b"")
+                raws.append(" ⁇ ".encode() if sp.is_unknown(i) else b"")
                 continue
-            self.raw.append(piece.replace(MARK, " ").encode())
+            raws.append(piece.replace(MARK, " ").encode())
             least = min(least, score)
             if re.search(f"[^{MARK}]{MARK}", piece):
                 raise ValueError("pieces of this model reach over word borders")
@@ -60,6 +61,9 @@ class Pieces:
             for c in piece:
                 node = node.setdefault(c, {})
             node[_END] = (score, i)
+        self.blob = np.frombuffer(b"".join(raws) + b"\0", np.uint8)
+        self.size = np.array([len(r) for r in raws])
+        self.at = np.cumsum(self.size) - self.size
         self.unknown, self.unknown_score = sp.unk_id(), least - 10.0
         lines = not any("\n" in p for p in map(sp.id_to_piece, range(n)))
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
@@ -89,11 +93,11 @@ class Pieces:
                     node = node.get(c)
                     if node is not None:
                         on.append((start, node))
-                        if _END in node:
-                            score, i = node[_END]
-                            score += best[start]
+                        own = node.get(_END)
+                        if own is not None:
+                            score = own[0] + best[start]
                             if score > top:
-                                top, how = score, (start, i)
+                                top, how = score, (start, own[1])
                 node = root.get(c)
                 if node is not None:
                     on.append((d, node))
@@ -128,10 +132,14 @@ class Pieces:
         known = self.known
         return [b"".join([known[w] for w in ws]) for ws in cut]
 
-    def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
+        """The texts of ids[off[i]:off[i + 1]]: all pieces' bytes are gathered at once."""
+        n = self.size[ids]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        raw = self.blob[np.repeat(self.at[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cut = ends[off].tolist()
+        texts = [raw[a:z].decode("utf-8", "replace") for a, z in zip(cut, cut[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -140,7 +148,7 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _runs(sizes: list[int], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def _runs(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     a, size = 0, 0
     for i, n in enumerate(sizes):
         if i > a and size + n > limit:
@@ -185,10 +193,9 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
         for batch in batches:
             column = batch.column(at)
             off, flat = column.offsets.to_numpy(), column.values
-            for a, z in _runs((off[1:] - off[:-1]).tolist()):
-                some = flat[int(off[a]) : int(off[z])].to_pylist()
-                base = int(off[a])
-                texts = [p.decode(some[int(off[i]) - base : int(off[i + 1]) - base]) for i in range(a, z)]
+            for a, z in _runs((off[1:] - off[:-1]).tolist(), 1 << 18):
+                some = flat[int(off[a]) : int(off[z])].to_numpy()
+                texts = p.decode(some, off[a : z + 1] - off[a])
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, z - a) for c in batch.columns], pa.array(texts, pa.string())], names=[*names, out])
 
     return rows.mapInArrow(run, f"{_kinds(rows)}, `{out}` string")
