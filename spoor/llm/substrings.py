@@ -6,7 +6,7 @@ by content: a window's key is the least hash among its GRAM-byte substrings, so
 equal windows meet, and windows in a row mostly share their key and travel as
 one piece of text.
 
-1. Pieces are made on the executors and known by (key, 128-bit hash of the piece).
+1. Pieces are made on the executors and known by key and hash, 64 bits each.
    Keys with a single window run in the whole corpus are done: nothing repeats.
 2. Pieces that occur twice or more are repeated from end to end: counted before
    any exchange, so thousands of copies are one row per task.
@@ -22,8 +22,8 @@ one piece of text.
 Defined results: null text is empty; texts under WIDTH bytes lose nothing;
 repeated rows are other places of one text, so they lose all of it that is WIDTH
 bytes or longer; a null doc_id stays null; an empty table gives an empty result;
-other columns are not read. Equality of pieces is that of 128-bit hashes; inside
-shards it is that of bytes.
+other columns are not read. Equality of pieces is that of both their hashes, 128 bits
+in all; inside shards it is that of bytes.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def _slices(texts: list[bytes], limit: int = 1 << 20) -> Iterator[list[tuple[int
 
 
 def _pieces(parts: list[tuple[int, int, bytes]]):
-    """Runs of windows with one key: text index, key, two hashes of the piece, offset, windows, occurrences of the key (2 at most)."""
+    """Runs of windows with one key: text index, key, hash of the piece, offset, windows, occurrences of the key (2 at most)."""
     parts = [p for p in parts if len(p[2]) >= WIDTH]
     if not parts:
         return None
@@ -99,20 +100,18 @@ def _pieces(parts: list[tuple[int, int, bytes]]):
     s = at[start]
     e = s + wins + WIDTH - 1
     up, down = powers(len(b) + 1)
-    hashes = []
-    for salt in (1, 2):
-        c = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((mix(b.astype(np.uint64) + np.uint64(salt << 8))) * up[: len(b)], out=c[1:])
-        hashes.append(mix((c[e] - c[s]) * down[s] + wins.astype(np.uint64)))
+    c = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(mix(b.astype(np.uint64) + np.uint64(256)) * up[: len(b)], out=c[1:])
+    content = mix((c[e] - c[s]) * down[s] + wins.astype(np.uint64))
     ordered = np.sort(h)
     key = low[start]
     seen = np.minimum(np.searchsorted(ordered, key, side="right") - np.searchsorted(ordered, key), 2)
     w = who[start]
     offset = s - first[w] + np.array([p[1] for p in parts])[w]
-    return np.array([p[0] for p in parts])[w], key, hashes[0], hashes[1], offset, wins, seen
+    return np.array([p[0] for p in parts])[w], key, content, offset, wins, seen
 
 
-_RUNS = "id long, h long, key long, a long, b long, sw long, n int"
+_RUNS = "id long, h long, key long, a long, sw long, n int"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +120,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _slices(encoded(batch.column(2))):
             got = _pieces(parts)
             if got is not None:
-                i, key, a, b, offset, wins, seen = got
-                cols = [ids[i], hs[i], key.view(np.int64), a.view(np.int64), b.view(np.int64), (offset << _SPAN) | wins, seen.astype(np.int32)]
+                i, key, a, offset, wins, seen = got
+                cols = [ids[i], hs[i], key.view(np.int64), a.view(np.int64), (offset << _SPAN) | wins, seen.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in _RUNS.split(", ")])
 
 
@@ -297,8 +296,6 @@ _TAKEN = "key long, id long, h long, off long, piece binary"
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The wanted pieces of each text."""
-    import zstandard
-
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in ("id", "h", "zt", "want")}
@@ -356,18 +353,60 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(n, i)), pa.array(np.full(n, h)), pa.array(np.arange(n) + off)], names=["x", "y", "id", "h", "off"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+#: Places of the bitmap that marks texts; a fixed size (512 KB), so a wrong mark only sends a text for nothing.
+MARKS = 1 << 22
 
-    for batch in batches:
-        z = zstandard.ZstdCompressor(level=1)
-        small = pa.array([z.compress(t) for t in encoded(batch.column(3))], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], small], names=["doc_id", "id", "h", "zt"])
 
+def _marked(texts: DataFrame) -> np.ndarray:
+    """A bitmap of hashed (id, h), MARKS bits for any number of texts."""
+    at = texts.select(F.pmod(F.xxhash64("id", "h"), F.lit(MARKS)).alias("p")).distinct()
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).collect()
+    out = np.zeros(MARKS >> 6, np.int64)
+    for r in words:
+        out[r.w] = r.b
+    return out.view(np.uint64)
+
+
+def _on(marks: np.ndarray, place: pa.Array) -> np.ndarray:
+    p = place.to_numpy()
+    return (marks[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _packed(marks):
+    """The marked texts, compressed for the exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(_on(marks.value, batch.column(4))))
+            z = zstandard.ZstdCompressor(level=1)
+            small = pa.array([z.compress(t) for t in encoded(some.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], small], names=["doc_id", "id", "h", "zt"])
+
+    return run
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
 
+def _untouched(marks):
+    """Results of the texts without a mark: nothing of them repeats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(~_on(marks.value, batch.column(4))))
+            texts = encoded(some.column(3))
+            yield _result(some.column(0), [(len(t), 0, 0, hashlib.sha256(t).hexdigest(), t) for t in texts])
+
+    return run
+
+
+_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _result(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([ids, *cols], names=[c.split()[0] for c in _KEPT.split(", ")])
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for z, cuts in zip(batch.column("zt").to_pylist(), batch.column("cuts").to_pylist()):
@@ -386,9 +425,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = b"".join(kept)
             gone = len(text) - len(left)
             rows.append((len(text), gone, spans, hashlib.sha256(left).hexdigest(), left))
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield _result(batch.column("doc_id"), rows)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -398,24 +435,28 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(real.alias("doc_id"), F.coalesce(real, F.lit(0)).cast("long").alias("id"), F.xxhash64(real.isNull(), text).alias("h"), text.alias("t"))
     runs = rows.filter(F.octet_length("t") >= WIDTH).select("id", "h", "t").mapInArrow(_find, _RUNS)
     many = runs.groupBy("key").agg(F.sum("n").alias("s")).filter("s > 1").select("key")
-    met = stage(runs.select("id", "h", "key", "a", "b", "sw").join(many, "key"))
-    same = met.groupBy("key", "a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "sw")).alias("one"))
+    met = stage(runs.select("id", "h", "key", "a", "sw").join(many, "key"))
+    same = met.groupBy("key", "a").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "sw")).alias("one"))
     kinds = same.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     alone = (F.col("k") == 1) & (F.col("c") > 1)
     checked = stage(same.join(kinds, "key").filter(~alone).select("key", "c", "k", "one.*"))
     # pieces that occur again are repeated from end to end
-    copied = met.join(same.filter("c > 1").select("key", "a", "b"), ["key", "a", "b"], "left_semi")
+    copied = met.join(same.filter("c > 1").select("key", "a"), ["key", "a"], "left_semi")
     off, wins = F.shiftright("sw", _SPAN), F.col("sw").bitwiseAND(F.lit((1 << _SPAN) - 1))
     cuts = copied.select("id", "h", off.alias("lo"), (off + wins + (WIDTH - 1)).alias("hi"))
     # different pieces of one key go to shards, once each
-    packed = rows.mapInArrow(_packed, "doc_id long, id long, h long, zt binary")
+    send = docs.sparkSession.sparkContext.broadcast
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "h"), F.lit(MARKS)))
+    packed = lambda marks: rows.mapInArrow(_packed(marks), "doc_id long, id long, h long, zt binary")
     want = checked.groupBy("id", "h").agg(F.collect_list(F.struct("key", "sw")).alias("want"))
     hot = checked.filter(F.col("k") > HOT).select("key").distinct()
-    taken = packed.select("id", "h", "zt").dropDuplicates(["id", "h"]).join(want, ["id", "h"]).mapInArrow(_take, _TAKEN)
+    taken = packed(send(_marked(checked))).select("id", "h", "zt").dropDuplicates(["id", "h"]).join(want, ["id", "h"]).mapInArrow(_take, _TAKEN)
     taken = stage(taken)
     cool = taken.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_shard, _FOUND)
     each = taken.join(hot, "key", "left_semi").mapInArrow(_single, "x long, y long, id long, h long, off long")
     twice = each.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("x", "y")
     split = each.join(twice, ["x", "y"], "left_semi").select("id", "h", F.col("off").alias("lo"), (F.col("off") + WIDTH).alias("hi"))
-    cuts = cuts.union(cool).union(split).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
-    return packed.join(cuts, ["id", "h"], "left").select("doc_id", "zt", "cuts").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cuts = stage(cuts.union(cool).union(split).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))
+    marks = send(_marked(cuts))
+    done = packed(marks).join(cuts, ["id", "h"], "left").select("doc_id", "zt", "cuts").mapInArrow(_removed, _KEPT)
+    return done.union(rows.mapInArrow(_untouched(marks), _KEPT))
