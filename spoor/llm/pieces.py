@@ -35,7 +35,7 @@ _END = ""  # key of a node's own piece: no character is empty
 
 
 class Pieces:
-    def __init__(self, path: str, bound: int = 450_000):
+    def __init__(self, path: str, bound: int = 250_000):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
