@@ -202,119 +202,141 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 # ---------------------------------------------------------------- near copies by similarity
 
-#: Fingerprint words of 64 bits, and their 16-bit bands.
-WIDE = 8
-BANDS = 4 * WIDE
-#: Rows of a band that are compared at once.
-BLOCK = 4096
+#: Bands of so many minima of hashes: texts at similarity s share a band with probability 1 - (1 - s**MINIMA)**BANDS.
+BANDS = 32
+MINIMA = 6
 _ASCII_BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_ODD = mix(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def wide_radius(similarity: float) -> int:
-    """Differing bits within which two sets of that Jaccard similarity fall nearly always: their mean and a deviation and a half."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    n = 64 * WIDE
-    return int(n * p + 1.5 * np.sqrt(n * p * (1 - p)))
+def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct runs of `width` words of each text (fewer words: of all of them), and each text's first."""
+    h, off = hashed_words([t.lower() for t in texts], _ASCII_BLANKS)
+    sets = [np.zeros(0, np.uint64)]
+    for a, z in zip(off[:-1], off[1:]):
+        w = h[a:z]
+        k = min(width, len(w))
+        s = np.zeros(len(w) - k + 1 if k else 0, np.uint64)
+        for j in range(k):
+            s = s * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j]
+        sets.append(np.unique(mix(s)))
+    return np.concatenate(sets), np.cumsum([len(s) for s in sets])
 
 
-def _wide(width: int):
-    """Per text, behind its other columns: WIDE fingerprint words of its distinct word shingles, and how many there are."""
+def _bands(width: int):
+    """g, keys: for each text with words the keys of its BANDS bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.columns[-1])
+            texts = encoded(batch.column(1))
             for a, z in steps(texts, 1 << 19):
-                h, off = hashed_words([t.lower() for t in texts[a:z]], _ASCII_BLANKS)
-                sets = []
-                for i in range(z - a):
-                    w = h[off[i] : off[i + 1]]
-                    k = min(width, len(w))
-                    s = np.zeros(max(len(w) - k + 1, 0) if k else 0, np.uint64)
-                    for j in range(k):
-                        s = s * np.uint64(0x9E3779B97F4A7C15) + w[j : len(w) - k + 1 + j]
-                    sets.append(np.unique(s))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-                flat = np.concatenate(sets)
-                prints = np.stack([majority(mix(flat + np.uint64(k * 0x9E37)), ends) for k in range(WIDE)], 1)
-                cols = [*[c.slice(a, z - a) for c in batch.columns[:-1]], pa.array([p.tobytes() for p in prints], pa.binary()), pa.array(np.diff(ends))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "fp", "n"])
+                flat, ends = shingle_sets(texts[a:z], width)
+                some = np.flatnonzero(np.diff(ends))
+                if not len(some):
+                    continue
+                keys = np.empty((len(some), BANDS), np.uint64)
+                for b in range(BANDS):
+                    key = np.full(len(some), b, np.uint64)
+                    for odd in _ODD[b * MINIMA : (b + 1) * MINIMA]:
+                        key = mix(key + np.minimum.reduceat(flat * odd, ends[:-1][some]))
+                    keys[:, b] = key
+                off = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+                listed = pa.ListArray.from_arrays(off, pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a).take(pa.array(some)), listed], names=["g", "keys"])
 
     return run
 
 
-def _near(radius: int):
-    """Links inside the groups of a band, which come sorted: of each block with itself and with the leaders before it."""
+def near_links(flat: np.ndarray, ends: np.ndarray, similarity: float) -> np.ndarray:
+    """A label for each of the sets flat[ends[i]:ends[i + 1]]: the index of a member of its part.
+
+    Two sets are linked if their Jaccard similarity is `similarity` or more. Every
+    pair is counted out but those already in one part and those whose sizes
+    rule it out.
+    """
+    size = np.diff(ends)
+    order = np.argsort(size, kind="stable")
+    lab = np.arange(len(size))
+    kinds, place = np.unique(flat, return_inverse=True)
+    flag = np.zeros(len(kinds), bool)
+    ranked = size[order]
+    for r, i in enumerate(order.tolist()):
+        if not size[i]:
+            continue
+        z = int(np.searchsorted(ranked, size[i] / similarity + 1e-9, side="right"))
+        j = order[r + 1 : z]
+        j = j[lab[j] != lab[i]]
+        if not len(j):
+            continue
+        own = place[ends[i] : ends[i + 1]]
+        flag[own] = True
+        n = size[j]
+        first = np.cumsum(n) - n
+        at = np.repeat(ends[j] - first, n) + np.arange(int(n.sum()))
+        both = np.add.reduceat(flag[place[at]].astype(np.int64), first)
+        flag[own] = False
+        j = j[both >= similarity * (size[i] + n - both) - 1e-9]
+        for old in np.unique(lab[j]).tolist():
+            lab[lab == max(old, lab[i])] = min(old, lab[i])
+    return lab
+
+
+def _verified(width: int, similarity: float):
+    """Links inside groups (k, g, text), which come sorted by k: one group is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, prints = None, [], []
+        key, ids, texts = None, [], []
+
+        def solved() -> pa.RecordBatch:
+            lab, own = near_links(*shingle_sets(texts, width), similarity), np.array(ids, np.int64)
+            far = np.flatnonzero(lab != np.arange(len(lab)))
+            return pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(own[lab[far]])], names=["u", "v"])
 
-        def solved() -> tuple[list[int], list[int]]:
-            u, v = [], []
-            leads, lead_ids = np.zeros((0, WIDE), np.uint64), np.zeros(0, np.int64)
-            for a in range(0, len(ids), BLOCK):
-                own = np.concatenate([lead_ids, np.array(ids[a : a + BLOCK], np.int64)])
-                x = np.concatenate([leads, np.frombuffer(b"".join(prints[a : a + BLOCK]), np.uint64).reshape(-1, WIDE)])
-                lab = np.arange(len(own))
-                for i in range(len(own)):
-                    if i + 1 < len(own):
-                        j = i + 1 + np.flatnonzero(lab[i + 1 :] != lab[i])
-                        j = j[np.bitwise_count(x[j] ^ x[i]).sum(1) <= radius]
-                        for old in np.unique(lab[j]).tolist():
-                            lab[lab == max(old, lab[i])] = min(old, lab[i])
-                roots = np.flatnonzero(lab == np.arange(len(own)))
-                far = np.flatnonzero(lab != np.arange(len(own)))
-                u += own[far].tolist()
-                v += own[lab[far]].tolist()
-                leads, lead_ids = x[roots], own[roots]
-            return u, v
-
-        us, vs = [], []
         for batch in batches:
-            for k, g, p in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), encoded(batch.column(2))):
                 if k != key:
                     if len(ids) > 1:
-                        u, v = solved()
-                        us, vs = us + u, vs + v
-                    key, ids, prints = k, [], []
+                        yield solved()
+                    key, ids, texts = k, [], []
                 ids.append(g)
-                prints.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-            us, vs = [], []
+                texts.append(t)
         if len(ids) > 1:
-            us, vs = solved()
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            yield solved()
 
     return run
 
 
+def near_copies(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (u, v) that join all of the distinct (g, text) whose sets of shingles have that Jaccard similarity, as forests.
+
+    Texts that share a band are candidates. Each is tied to the smallest g of the
+    band, so a band of any size gives a row per text, and candidates that hang
+    together are a family. In a family every pair is compared by its exact sets.
+    """
+    bands = texts.mapInArrow(_bands(width), "g long, keys array<long>")
+    rows = stage(bands.select("g", F.explode("keys").alias("key")))
+    least = rows.groupBy("key").agg(F.min("g").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "least")
+    family = components(rows.join(least, "key").select(F.col("g").alias("u"), F.col("least").alias("v")))
+    met = stage(texts.join(family, F.col("g") == F.col("node")).select("g", "text", "root"))
+    dealt = met.select(F.col("root").alias("k"), "g", "text")
+    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_verified(width, similarity), "u long, v long")
+
+
 def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` but for near copies: of each group the row with the smallest doc_id stays.
 
-    Equal texts are one node from the start. Two texts are near if their
-    512-bit SimHashes of word shingles differ in at most wide_radius(similarity)
-    bits; they meet under equal 16-bit bands, in classes of size two to one (set
-    sizes of near texts differ by at most 1 / similarity). At this radius pivot
-    distances discard nothing, so bands take their place. Pairs at similarity 0.8
-    meet with probability 0.91, at 0.9 with 0.998.
+    Equal texts are one node from the start. Two texts are near if the Jaccard
+    similarity of their sets of word shingles is `similarity` or more; groups are
+    what hangs together over near pairs. Candidates come from bands of minima:
+    pairs at similarity 0.8 share one with probability 0.9999.
     """
     names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("__g"), F.md5(text).alias("__m"))
-    each = keyed.select("doc_id", "__g", "__m", text.alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in each.schema.fields[:-1])
-    each = each.mapInArrow(_wide(width), f"{kinds}, fp binary, n long")
-    nodes = stage(each.groupBy("__g", "__m").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n")))
     # a text is known by both hashes; as a node by one made of them
-    prints = nodes.select(F.xxhash64("__g", "__m").alias("g"), "fp", "n")
-    size = F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")))
-    up = F.floor(F.log2(F.greatest("n", F.lit(1)) / similarity))
-    band = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("long")
-    keys = F.array(*[F.lit(k << 16) + band(k) for k in range(BANDS)])
-    rows = prints.filter("n > 0").select("g", "fp", F.explode(F.array_distinct(F.array(size, up))).alias("s"), keys.alias("keys"))
-    rows = rows.select(F.explode("keys").alias("k"), "s", "g", "fp").select((F.col("k") * 64 + F.col("s")).alias("key"), "g", "fp")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_near(wide_radius(similarity)), "u long, v long")
-    found = components(met)
-    named = nodes.select("__g", "__m", "least", F.xxhash64("__g", "__m").alias("g")).join(found, F.col("g") == F.col("node"), "left")
+    nodes = stage(keyed.groupBy("__g", "__m").agg(F.min("doc_id").alias("least"), F.first(text).alias("text")).withColumn("g", F.xxhash64("__g", "__m")))
+    found = components(near_copies(nodes.select("g", "text"), width, similarity))
+    named = nodes.select("__g", "__m", "least", "g").join(found, F.col("g") == F.col("node"), "left")
     named = named.withColumn("root", F.coalesce("root", "g"))
     # empty texts are equal texts; null ids come last
     best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "__m", "__g")).alias("b")).select("b.least", F.col("b.__g").alias("bg"), F.col("b.__m").alias("bm"))

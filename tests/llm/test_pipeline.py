@@ -87,3 +87,26 @@ def test_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("false")
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder).collect() == []
+
+
+def words(n):
+    return [f"w{RNG.getrandbits(40):x}" for _ in range(n)]
+
+
+def changed(w, at):
+    """Each place in `at`, five words or more apart, changes five shingles."""
+    return [f"x{RNG.getrandbits(40):x}" if i in at else x for i, x in enumerate(w)]
+
+
+def test_near_copies_are_settled_by_exact_similarity(documents):
+    rows, gone = [], set()
+    for k in range(0, 400, 2):  # 104 words: 100 shingles; two changes leave 90 of 110, three 85 of 115
+        w = words(104)
+        n = 2 if k < 200 else 3
+        t = " ".join(changed(w, set(range(10, 10 + 10 * n, 10))))
+        rows += [(k, " ".join(w)), (k + 1, t)]
+        assert (jaccard(rows[-2][1], t) >= 0.8) == (n == 2)
+        if n == 2:
+            gone.add(k + 1)
+    kept = {r.doc_id for r in simhash.without_near_copies(documents(rows)).collect()}
+    assert set(range(400)) - kept == gone
