@@ -205,6 +205,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 #: Bands of so many minima of hashes: texts at similarity s share a band with probability 1 - (1 - s**MINIMA)**BANDS.
 BANDS = 32
 MINIMA = 6
+#: Texts and bytes of text that one side of a comparison holds, about; a family above either is cut into blocks.
+BLOCK = 1024
+BYTES = 4 << 20
 _ASCII_BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _ODD = mix(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -311,14 +314,21 @@ def near_copies(texts: DataFrame, width: int, similarity: float) -> DataFrame:
 
     Texts that share a band are candidates. Each is tied to the smallest g of the
     band, so a band of any size gives a row per text, and candidates that hang
-    together are a family. In a family every pair is compared by its exact sets.
+    together are a family. In a family every pair is compared by its exact sets; a
+    large one is cut into blocks, and each two blocks meet in a task of their own.
     """
     bands = texts.mapInArrow(_bands(width), "g long, keys array<long>")
     rows = stage(bands.select("g", F.explode("keys").alias("key")))
     least = rows.groupBy("key").agg(F.min("g").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "least")
     family = components(rows.join(least, "key").select(F.col("g").alias("u"), F.col("least").alias("v")))
     met = stage(texts.join(family, F.col("g") == F.col("node")).select("g", "text", "root"))
-    dealt = met.select(F.col("root").alias("k"), "g", "text")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("text").cast("long")) / BYTES)).cast("int")
+    sizes = met.groupBy("root").agg(parts.alias("parts")).select(F.col("root").alias("r"), "parts")
+    dealt = met.join(sizes, F.col("root") == F.col("r")).withColumn("own", F.pmod(F.xxhash64("g"), F.col("parts")).cast("int"))
+    # with one block it meets itself; with more each meets every other, and so its own rows too
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("own")))
+    dealt = dealt.select("root", "own", "g", "text", F.explode(others).alias("other"))
+    dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "g", "text")
     return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_verified(width, similarity), "u long, v long")
 
 

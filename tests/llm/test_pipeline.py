@@ -110,3 +110,15 @@ def test_near_copies_are_settled_by_exact_similarity(documents):
             gone.add(k + 1)
     kept = {r.doc_id for r in simhash.without_near_copies(documents(rows)).collect()}
     assert set(range(400)) - kept == gone
+
+
+def test_near_copies_of_a_large_family(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rows, w = [], words(204)
+    for k in range(60):  # a chain: each is near the one before only
+        rows.append((k, " ".join(w)))
+        w = changed(w, {(7 * k + 15 * j) % 200 + 2 for j in range(4)})
+    assert all(jaccard(rows[a][1], rows[b][1]) < 0.8 for a in range(60) for b in range(a + 3, 60))
+    RNG.shuffle(rows)
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
