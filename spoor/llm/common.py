@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import stage, work_dir
 
 #: Bytes of text that one vectorised step works on; longer texts are cut between words.
 STEP = 1 << 20
@@ -23,6 +24,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table, written as Parquet to the shared folder and read again: branches then read only their columns."""
+    folder = f"{work_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import chat, language, multiset, pieces, pii, retrieval, simhash, substrings, tokenfile, toxicity
+from . import chat, language, minhash, multiset, pieces, pii, retrieval, simhash, substrings, tokenfile, toxicity
 from .catalog import query
 from .common import fold, table
 
@@ -82,3 +82,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     found = retrieval.searched(table(spark, sf, "documents"), table(spark, sf, "benchmark"), ["doc_id"])
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
+@query("op13_minhash", minhash.ORACLE)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf, "documents"), width=4, similarity=0.8)
