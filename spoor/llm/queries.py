@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import chat, language, minhash, multiset, pieces, pii, retrieval, simhash, substrings, tokenfile, toxicity
+from . import alignment, chat, language, minhash, multiset, pieces, pii, retrieval, simhash, substrings, tokenfile, toxicity
 from .catalog import query
 from .common import fold, table
 
@@ -87,3 +87,8 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_minhash", minhash.ORACLE)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), width=4, similarity=0.8)
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.compared(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
