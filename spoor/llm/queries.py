@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import alignment, chat, language, minhash, multiset, pieces, pii, retrieval, simhash, substrings, tokenfile, toxicity
+from . import alignment, chat, language, minhash, multiset, negatives, pieces, pii, retrieval, simhash, substrings, tokenfile, toxicity
 from .catalog import query
 from .common import fold, table
 
@@ -92,3 +92,9 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
 @query("op11_alignment")
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.compared(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op12_negatives", negatives.ORACLE)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf, "embeddings"), "vec_id", "embedding", label, scale=256, every=50, positives=5, negatives=3, low=50, high=95)
