@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as k
 from ..session import work_dir
+from ..sources import arrays as ar
 from ..sources import layout as la
 from ..sources import normalise as no
 from ..sources import readers as rd
@@ -47,15 +48,19 @@ def _lines(spark, sf):
     return shared("lines", spark, sf, build).first()["path"]
 
 
-@query("S01_array_scan", _REC, "reward")
-def s01(spark, sf):
+def _arrays(spark, sf):
     """Files that each hold one JSON array: lines of a part file between brackets, commas after all but the last."""
     path = _dir(spark, "array")
     rows = records(spark, sf).select(F.to_json(F.struct("*")).alias("value"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
     ends = rows.groupBy("p").agg(F.min("i").alias("first"), F.max("i").alias("last"))
     lead, tail = F.when(F.col("i") == F.col("first"), "[").otherwise(""), F.when(F.col("i") == F.col("last"), "]").otherwise(",")
     rows.join(F.broadcast(ends), "p").select(F.concat(lead, "value", tail).alias("value")).write.text(path)
-    return rd.read_array(spark, path, SCHEMA).select("id", F.length("generated_text").alias("n"), "reward")
+    return path
+
+
+@query("S01_array_scan", _REC, "reward")
+def s01(spark, sf):
+    return rd.read_array(spark, _arrays(spark, sf), SCHEMA).select("id", F.length("generated_text").alias("n"), "reward")
 
 
 @query("S02_lines_scan", _REC, "reward")
@@ -74,6 +79,12 @@ def s04(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("generated_text")).alias("chars"))
 
 
+@query("S04_large_array", _REC, "reward")
+def s04b(spark, sf):
+    """The arrays read in byte ranges of 256 KB, so that each is many tasks' work."""
+    return ar.read_large_array(spark, _arrays(spark, sf), SCHEMA, 1 << 18).select("id", F.length("generated_text").alias("n"), "reward")
+
+
 @query("S05_converted", _REC, "reward")
 def s05(spark, sf):
     path = _dir(spark, "parquet")
