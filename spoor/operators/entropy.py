@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tok
 from ..functions.probs import band
-from .spread import CHUNK, group_percentiles, position_chunk, ranked, running, value_bucket
+from .spread import CHUNK, group_percentiles, position_chunk, ranked, running, selected
 
 TOK = ["traj_id"]
 
@@ -72,21 +72,9 @@ def statistics(tokens: DataFrame, keys: Sequence[str] = ("traj_id",)) -> DataFra
 
 
 def kth_largest(tokens: DataFrame, percent: float = 5.0) -> DataFrame:
-    """E-06: one row with the entropy at rank max(1, floor(n p / 100)) of the whole descending sort.
-
-    Counts per value bucket find the bucket of that rank; only that bucket is looked into.
-    """
-    v = tokens.filter("entropy IS NOT NULL").select("entropy", value_bucket("entropy").alias("b"))
-    above = W.partitionBy(F.lit(1)).orderBy(F.col("b").desc()).rowsBetween(W.unboundedPreceding, -1)
-    hist = v.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    hist = hist.withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn(
-        "k", F.greatest(F.lit(1), F.floor(F.sum("n").over(W.partitionBy(F.lit(1))) * F.lit(float(percent)) / 100))
-    )
-    at = hist.filter("before < k AND k <= before + n")
-    upto = W.partitionBy(F.lit(1)).orderBy(F.col("entropy").desc()).rowsBetween(W.unboundedPreceding, 0)
-    vals = v.join(at, "b").groupBy("entropy", "before", "k").agg(F.count(F.lit(1)).alias("m"))
-    vals = vals.withColumn("upto", F.col("before") + F.sum("m").over(upto))
-    return vals.filter("upto >= k").agg(F.max("entropy").alias("cut"))
+    """E-06: one row with the entropy at rank max(1, floor(n p / 100)) of the whole descending sort."""
+    rank = lambda total: [total - F.greatest(F.lit(1), F.floor(total * F.lit(float(percent)) / 100))]
+    return selected(tokens, [], "entropy", rank).select(F.col("__r0").alias("cut"))
 
 
 def above_global_cut(tokens: DataFrame, percent: float = 5.0) -> DataFrame:

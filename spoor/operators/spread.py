@@ -9,7 +9,7 @@ summary row per chunk is windowed per group, and its result is joined back on
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,28 +39,64 @@ def numbered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    chunk: Column,
+    chunk: Column | Sequence[Column],
     name: str,
     descending_chunk: bool = False,
     total: str | None = None,
 ) -> DataFrame:
-    """0-based row number per group; `chunk` must be monotone in the first order column.
+    """0-based row number per group; `chunk`, one column or several, must be monotone in the first order columns.
 
     `total` names a column for the group's size, which the chunk sizes give for free.
     """
     keys = list(keys)
-    base = df.withColumn(_C, -chunk if descending_chunk else chunk)
-    local = base.withColumn(name, F.row_number().over(W.partitionBy(*keys, _C).orderBy(*order)) - 1)
-    before = W.partitionBy(*keys).orderBy(_C).rowsBetween(W.unboundedPreceding, -1)
+    cols = [chunk] if isinstance(chunk, Column) else list(chunk)
+    names = [_C, *[f"{_C}{i}" for i in range(1, len(cols))]]
+    base = df.withColumns({n: -c if descending_chunk else c for n, c in zip(names, cols)})
+    local = base.withColumn(name, F.row_number().over(W.partitionBy(*keys, *names).orderBy(*order)) - 1)
+    before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
     sizes = (
-        base.groupBy(*keys, _C)
+        base.groupBy(*keys, *names)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     )
     if total:
         sizes = sizes.withColumn(total, F.sum("__n").over(W.partitionBy(*keys)))
-    out = local.join(sizes.drop("__n"), [*keys, _C])
-    return out.withColumn(name, (F.col(name) + F.col("__off")).cast("long")).drop(_C, "__off")
+    out = local.join(sizes.drop("__n"), [*keys, *names])
+    return out.withColumn(name, (F.col(name) + F.col("__off")).cast("long")).drop(*names, "__off")
+
+
+def _cell(x: str, low: str, high: str) -> Column:
+    """Place of a value among CHUNK equal parts of a range; monotone, since every step is correctly rounded."""
+    part = F.floor((F.col(x) - F.col(low)) / (F.col(high) - F.col(low)) * F.lit(float(CHUNK))).cast("long")
+    return F.when(F.col(high) > F.col(low), part).otherwise(F.lit(0).cast("long"))
+
+
+def value_chunks(df: DataFrame, keys: Sequence[str], value: str, tie: Column, limit: int = CHUNK) -> tuple[DataFrame, list[str]]:
+    """`df` with columns that cut each group into chunks in the order of (value, tie), and their names.
+
+    A value bucket of more than `limit` rows is cut by the range that its values
+    really span; a value with more than `limit` rows of its own is taken out of
+    its part and cut by the tie column, which is a number.
+    """
+    keys, names = list(keys), ["__vb", "__cell", "__sub", "__tie"]
+    base = df.withColumn("__x", F.col(value).cast("double")).withColumn("__vb", value_bucket(value))
+    at = [*keys, "__vb"]
+    hot = base.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")).filter(F.col("__n") > limit)
+    often = base.join(hot.select(*at), at, "left_semi").groupBy(*at, "__x").agg(F.count(F.lit(1)).alias("__m")).filter(F.col("__m") > limit)
+    often = often.groupBy(*at).agg(F.sort_array(F.collect_list("__x")).alias("__often"))  # fewer than one per `limit` rows
+    known = hot.drop("__n").join(often, at, "left")
+    rows = base.join(known, at, "left")
+    heavy = F.coalesce(F.array_contains("__often", F.col("__x")), F.lit(False))
+    below = F.coalesce(F.size(F.filter("__often", lambda h: h < F.col("__x"))), F.lit(0))
+    below = F.when(F.col("__often").isNull(), 0).otherwise(below)
+    rows = rows.withColumns(
+        {
+            "__cell": F.coalesce(_cell("__x", "__lo", "__hi"), F.lit(0)),
+            "__sub": (2 * below + heavy.cast("int")).cast("long"),
+            "__tie": F.when(heavy, value_bucket(tie)).otherwise(F.lit(0).cast("long")),
+        }
+    )
+    return rows.drop("__x", "__lo", "__hi", "__often"), names
 
 
 def ranked(
@@ -71,10 +107,13 @@ def ranked(
     name: str,
     descending: bool = False,
     total: str | None = None,
+    limit: int = CHUNK,
 ) -> DataFrame:
-    """0-based rank by a numeric column with explicit tie order."""
+    """0-based rank by a numeric column with explicit tie order; the first tie column is a number."""
     first = F.col(value).desc() if descending else F.col(value).asc()
-    return numbered(df, keys, [first, *ties], value_bucket(value), name, descending, total)
+    rows, names = value_chunks(df, keys, value, ties[0], limit)
+    down = lambda n: -F.col(n) if descending and n != "__tie" else F.col(n)
+    return numbered(rows, keys, [first, *ties], [down(n) for n in names], name, total=total).drop(*names)
 
 
 def running(
@@ -100,54 +139,51 @@ def running(
     return out.withColumns(done).drop(_C, *[f"__{k}_{n}" for n in vals for k in "vo"])
 
 
-def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per group, one column per entry of `probs`.
+def selected(df: DataFrame, keys: Sequence[str], value: str, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """Per group `__total` and the values `__r0`, `__r1`, .. at the 0-based ascending ranks that `ranks(total)` names.
 
-    Pass 1 counts rows per (group, value bucket) with map-side combine and finds
-    the buckets that hold the wanted ranks. Pass 2 looks only into those buckets,
-    each of which is a small slice of its group.
+    Counts per (group, value bucket) combine map-side and find the buckets that
+    hold the ranks. The values of these alone are counted, so any number of equal
+    ones is one row, and cut into CHUNK parts of the range they really span;
+    counts per part find the parts that hold the ranks, and only inside such a
+    part are values put in order.
     """
     keys, whole = list(keys), not keys
     src = df.filter(F.col(value).isNotNull())
     if whole:
         src, keys = src.withColumn("__all", F.lit(1)), ["__all"]
     src = src.select(*keys, F.col(value).cast("double").alias("__x")).withColumn("__b", value_bucket("__x"))
-    names = list(probs)
-    by_bucket = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    wanted = F.array(*[r.cast("long") for r in ranks(F.col("__total"))])
+    inside = F.exists(wanted, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
+    ahead = W.partitionBy(*keys).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     hist = (
         src.groupBy(*keys, "__b")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(by_bucket), F.lit(0)))
+        .agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__min"), F.max("__x").alias("__max"))
+        .withColumn("__before", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
         .withColumn("__total", F.sum("__n").over(W.partitionBy(*keys)))
     )
-    at = [(F.col("__total") - 1) * F.lit(float(probs[n])) for n in names]
-    wanted = F.array(*[f(a).cast("long") for a in at for f in (F.floor, F.ceil)])
-    inside = F.exists(wanted, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))
-    targets = hist.filter(inside).select(*keys, "__b", "__before", "__total")
-    cum = W.partitionBy(*keys, "__b").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
-    vals = (
-        src.join(targets, [*keys, "__b"])
-        .groupBy(*keys, "__b", "__x", "__before", "__total")
-        .agg(F.count(F.lit(1)).alias("__m"))
-        .withColumn("__hi", F.col("__before") + F.sum("__m").over(cum))
-        .withColumn("__lo", F.col("__hi") - F.col("__m"))
-    )
+    targets = hist.filter(inside).select(*keys, "__b", "__before", "__total", "__min", "__max")
+    near = src.join(targets, [*keys, "__b"]).withColumn("__c", _cell("__x", "__min", "__max"))
+    part = [*keys, "__b", "__c"]
+    vals = near.groupBy(*part, "__x", "__before", "__total").agg(F.count(F.lit(1)).alias("__m"))
+    ahead = W.partitionBy(*keys, "__b").orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    cells = vals.groupBy(*part, "__before", "__total").agg(F.sum("__m").alias("__n"))
+    cells = cells.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(ahead), F.lit(0))).filter(inside).drop("__n")
+    upto = W.partitionBy(*part).orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
+    vals = vals.drop("__before", "__total").join(cells, part).withColumn("__hi", F.col("__before") + F.sum("__m").over(upto))
+    held = lambda r: (r >= F.col("__hi") - F.col("__m")) & (r < F.col("__hi"))
+    picks = [F.max(F.when(held(r.cast("long")), F.col("__x"))).alias(f"__r{i}") for i, r in enumerate(ranks(F.col("__total")))]
+    got = vals.groupBy(*keys).agg(F.max("__total").alias("__total"), *picks)
+    return got.drop("__all") if whole else got
 
-    def pick(a: Column, f) -> Column:
-        r = f(a).cast("long")
-        return F.max(F.when((r >= F.col("__lo")) & (r < F.col("__hi")), F.col("__x")))
 
-    picks = []
-    for i, a in enumerate(at):
-        picks += [pick(a, F.floor).alias(f"__l{i}"), pick(a, F.ceil).alias(f"__h{i}")]
-    got = vals.groupBy(*keys).agg(F.max("__total").alias("__total"), *picks)
-    return got.select(
-        *([] if whole else keys),
-        *[
-            (F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * (a - F.floor(a))).alias(n)
-            for i, (n, a) in enumerate(zip(names, at))
-        ],
-    )
+def group_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolated percentiles per group, one column per entry of `probs`."""
+    at = lambda total, p: (total - 1) * F.lit(float(p))
+    got = selected(df, keys, value, lambda total: [f(at(total, p)) for p in probs.values() for f in (F.floor, F.ceil)])
+    place = [at(F.col("__total"), p) for p in probs.values()]
+    low, high = (lambda i: F.col(f"__r{2 * i}")), (lambda i: F.col(f"__r{2 * i + 1}"))
+    return got.select(*keys, *[(low(i) + (high(i) - low(i)) * (a - F.floor(a))).alias(n) for i, (n, a) in enumerate(zip(probs, place))])
 
 
 def with_group(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
