@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import corpus as co
+from ..operators import nearest as ne
 from . import fixtures as fx
 from .q_metrics import scored_runs
 from .registry import CTES, query, shared
@@ -102,6 +103,41 @@ def d06(spark, sf):
     return co.best_query(matches(spark, sf).withColumn("score", F.round("score", 9)), 0.2)
 
 
+# Searches over all rows: every vector with an id that 20 divides asks, all others can be found.
+CTES["search_rows"] = """SELECT query_id, arg_max(doc_id, (round(score, 9), -doc_id)) AS doc_id, max(score) AS score FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id,
+  list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id) GROUP BY query_id"""
+
+
+def _searched(spark, sf, **params):
+    e = fx.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return ne.indexed_nearest(e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "doc_id"), **params)
+
+
+def searches(spark, sf):
+    return shared("searches", spark, sf, lambda: _searched(spark, sf)).withColumn("score", F.round("score", 9))
+
+
+@query("D04_search_all", "SELECT query_id, doc_id, score FROM search_rows", "score")
+def d04b(spark, sf):
+    return _searched(spark, sf)
+
+
+@query("J10_search_cells", "SELECT query_id, doc_id, score FROM search_rows", "score")
+def j10b(spark, sf):
+    """The same search over more and smaller cells."""
+    return _searched(spark, sf, centres=16, rings=3, block=64)
+
+
+@query("D05_search_percent", "SELECT query_id, doc_id, score FROM search_rows WHERE round(score, 9) > (SELECT round(quantile_cont(score, 0.9), 9) FROM search_rows)", "score")
+def d05b(spark, sf):
+    return co.top_percent(searches(spark, sf), 10.0)
+
+
+@query("D06_search_best", "SELECT doc_id, arg_max(query_id, (round(score, 9), -query_id)) AS query_id, max(score) AS score FROM search_rows WHERE score > 0.2 GROUP BY doc_id", "score")
+def d06b(spark, sf):
+    return co.best_query(searches(spark, sf), 0.2)
+
+
 CTES["code_tasks"] = "SELECT d.doc_id AS task_id, d.n_chars, CAST(floor(d.doc_id / 10.0) AS BIGINT) % 5 AS n_libs, d.doc_id % 100 AS solve_rate, d.text FROM documents d"
 
 
@@ -119,6 +155,15 @@ def d07(spark, sf):
     return co.hard_subset(got, code_tasks(spark, sf))
 
 
+@query(
+    "D07_search_subset",
+    "SELECT task_id FROM code_tasks WHERE n_libs > 2 AND length(text) > 426 AND solve_rate < 50 AND task_id IN (SELECT doc_id FROM search_rows WHERE score > 0.2)",
+)
+def d07b(spark, sf):
+    got = searches(spark, sf).filter("score > 0.2").select(F.col("doc_id").alias("task_id"))
+    return co.hard_subset(got, code_tasks(spark, sf))
+
+
 _R = "avg(CASE WHEN coalesce(reward, 0) > 0 THEN 1.0 ELSE 0.0 END) FILTER"
 
 
