@@ -2,13 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from ..streaming import jobs
+from ..streaming import jobs, state
 from . import fixtures as fx
 from .inputs import WINDOW, confs
 from .q_sources import _dir
 from .registry import CTES, query, shared
 
 
+#: Files of a stream in turns, and the positions (or turns) that one of them spans.
+BATCHES = 3
+SPAN = 2
+
+
 def _as_stream(spark, sf, name, build):
     """The table written once as files, then read as a stream."""
 
@@ -52,11 +57,35 @@ def t02b(spark, sf):
     return jobs.newest(spark, out, "user_id long, event_id long")
 
 
+def _ends(rows, key, *order):
+    """Rows with `last`, whether they are the end of their key."""
+    top = rows.groupBy(key).agg(F.max(F.struct(*order)).alias("top"))
+    return rows.join(top, key).withColumn("last", F.struct(*order) == F.col("top")).drop("top")
+
+
+def _in_turns(spark, path, rows, order):
+    """Files that arrive one after another in order of position, a trajectory in one file at a time, so that a query takes several batches."""
+    for k in range(BATCHES):
+        rows.filter(F.least(F.floor(F.col(order) / SPAN), F.lit(BATCHES - 1)) == k).repartition(4, "traj_id").write.mode("append").parquet(path)
+
+
+def _batches(spark, sf, name, build, order="position"):
+    def write():
+        path = _dir(spark, name)
+        rows = build()
+        _in_turns(spark, path, rows, order)
+        return spark.createDataFrame([(path,)], "path string")
+
+    path = shared(f"batches_{name}", spark, sf, write).first()["path"]
+    return jobs.read_stream(spark, path, spark.read.parquet(path).schema, 4)
+
+
 def _conf_stream(spark, sf):
-    return _as_stream(
-        spark, sf, "confs",
-        lambda: confs(spark, sf).select(F.concat(F.lit("t"), F.col("traj_id").cast("string")).alias("traj_id"), F.col("i").alias("position"), "conf", F.col("traj_id").alias("n")),
-    )
+    def build():
+        c = confs(spark, sf).select(F.concat(F.lit("t"), F.col("traj_id").cast("string")).alias("traj_id"), F.col("i").alias("position"), "conf", F.col("traj_id").alias("n"))
+        return _ends(c, "traj_id", "position")
+
+    return _batches(spark, sf, "confs", build)
 
 
 CTES["conf_windows"] = "SELECT concat('t', CAST(traj_id AS STRING)) AS traj_id, traj_id AS n, i, m FROM windows"
@@ -66,7 +95,7 @@ LOW = 2.0
 @query("T03_early_stop", f"SELECT traj_id, min(i) AS stopped_at, arg_min(m, i) AS window_mean FROM conf_windows WHERE m < {LOW} - 1e-9 GROUP BY traj_id", "window_mean")
 def t03(spark, sf):
     s = _conf_stream(spark, sf).withColumn("threshold", F.lit(LOW - 1e-9))
-    return _appended(spark, jobs.early_stop(s.drop("n"), WINDOW), "t03")
+    return _appended(spark, state.early_stop(s.drop("n"), WINDOW), "t03")
 
 
 @query(
@@ -79,7 +108,7 @@ def t04(spark, sf):
     bars = confs(spark, sf).select((F.col("traj_id") % 60).alias("problem_id")).distinct()
     bars = bars.withColumn("threshold", LOW + F.col("problem_id") / 100.0 - 1e-9)
     s = _conf_stream(spark, sf).withColumn("problem_id", F.col("n") % 60).join(bars, "problem_id").drop("problem_id", "n")
-    return _appended(spark, jobs.early_stop(s, WINDOW), "t04")
+    return _appended(spark, state.early_stop(s, WINDOW), "t04")
 
 
 @query(
@@ -89,8 +118,9 @@ def t04(spark, sf):
     ON o.problem_id = t.problem_id AND o.traj_idx = t.traj_idx""",
 )
 def t05(spark, sf):
-    s = _as_stream(spark, sf, "turns", lambda: fx.tokens(spark, sf).select(F.col("problem_id").alias("traj_id"), F.col("traj_idx").alias("turn"), "position"))
-    return _appended(spark, jobs.merged_turns(s), "t05").withColumn("turn", F.col("turn").cast("int"))
+    turns = lambda: _ends(fx.tokens(spark, sf).select(F.col("problem_id").alias("traj_id"), F.col("traj_idx").alias("turn"), "position"), "traj_id", "turn", "position")
+    s = _batches(spark, sf, "turns", turns, "turn")
+    return _appended(spark, state.merged_turns(s), "t05").withColumn("turn", F.col("turn").cast("int"))
 
 
 
@@ -123,7 +153,7 @@ def t06(spark, sf):
     GROUP BY traj_id, g) WHERE n >= 2 GROUP BY traj_id""",
 )
 def t07(spark, sf):
-    return _appended(spark, jobs.live_degeneration(_token_stream(spark, sf).select("traj_id", "position", "token_id"), 2), "t07")
+    return _appended(spark, state.live_degeneration(_token_stream(spark, sf).select("traj_id", "position", "token_id", "last"), 2), "t07")
 
 
 @query("T08_running_votes", "SELECT problem_id, extracted_answer, count(*) AS votes, count(*) FILTER (is_correct) AS correct FROM evals GROUP BY problem_id, extracted_answer")

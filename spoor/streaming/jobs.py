@@ -87,48 +87,6 @@ def _ordered_fold(stream: DataFrame, step: Callable, out: str, state: str, start
     return stream.groupBy("traj_id").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def early_stop(stream: DataFrame, window: int) -> DataFrame:
-    """T-03/T-04: rows traj_id, position, conf, threshold (constant or joined from a static table).
-
-    Emits one event per trajectory, at the first full window whose mean lies
-    below the threshold.
-    """
-
-    def step(key, state, rows):
-        buf, done = list(state[0]), bool(state[1])
-        got = []
-        if not done:
-            for p, c, t in zip(rows["position"], rows["conf"], rows["threshold"]):
-                buf = (buf + [float(c)])[-window:]
-                if len(buf) == window and sum(buf) / window < t:
-                    got.append({"traj_id": key, "stopped_at": int(p), "window_mean": sum(buf) / window})
-                    done, buf = True, []
-                    break
-        return (buf, done), got
-
-    return _ordered_fold(
-        stream, step, "traj_id string, stopped_at long, window_mean double", "buf array<double>, done boolean", ([], False)
-    )
-
-
-def merged_turns(stream: DataFrame) -> DataFrame:
-    """T-05: rows traj_id (the run), turn, position; positions continue over the turns as they arrive."""
-
-    def step(key, state, rows):
-        offset, turn, top = int(state[0]), int(state[1]), int(state[2])
-        got = []
-        for t, p in zip(rows["turn"], rows["position"]):
-            if t != turn:
-                offset, turn, top = offset + top, int(t), 0
-            top = max(top, int(p) + 1)
-            got.append({"traj_id": key, "turn": int(t), "position": offset + int(p)})
-        return (offset, turn, top), got
-
-    return _ordered_fold(
-        stream, step, "traj_id string, turn long, position long", "offset long, turn long, top long", (0, -1, 0), ["turn", "position"]
-    )
-
-
 def live_phases(stream: DataFrame, cons: int) -> DataFrame:
     """T-06: rows traj_id, position, entropy, high, low, last; emits phases as they close.
 
@@ -161,26 +119,6 @@ def live_phases(stream: DataFrame, cons: int) -> DataFrame:
     )
 
 
-def live_degeneration(stream: DataFrame, threshold: int = 10) -> DataFrame:
-    """T-07: the first run of `threshold` zero token ids, reported once when it is reached."""
-
-    def step(key, state, rows):
-        begin, n, done = int(state[0]), int(state[1]), bool(state[2])
-        got = []
-        if not done:
-            for p, t in zip(rows["position"], rows["token_id"]):
-                begin, n = (begin if n else int(p), n + 1) if t == 0 else (-1, 0)
-                if n >= threshold:
-                    got.append({"traj_id": key, "degenerate_at": begin})
-                    done = True
-                    break
-        return (begin, n, done), got
-
-    return _ordered_fold(
-        stream, step, "traj_id string, degenerate_at long", "begin long, n long, done boolean", (-1, 0, False)
-    )
-
-
 def running_votes(stream: DataFrame) -> DataFrame:
     """T-08: votes and accuracy per problem and answer so far."""
     return stream.groupBy("problem_id", "extracted_answer").agg(

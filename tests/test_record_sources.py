@@ -8,7 +8,7 @@ from spoor import registry
 from spoor.functions import counting, keys, record
 from spoor.operators import agent, confidence, voting
 from spoor.sources import layout, readers
-from spoor.streaming import jobs
+from spoor.streaming import jobs, state
 from tests.test_phases import COMBOS, brute, trajectories
 
 
@@ -103,7 +103,7 @@ def test_stream_batches(spark, tmp_path):
         part = spark.createDataFrame(rows[k * 10 : k * 10 + 10], "traj_id string, position long, conf double")
         part.coalesce(1).write.mode("append").parquet(str(src))
     s = jobs.read_stream(spark, str(src), "traj_id string, position long, conf double", files_per_trigger=1)
-    stops = jobs.early_stop(s.withColumn("threshold", F.when(F.col("position") >= 13, 2.1).otherwise(0.0)), 5)
+    stops = state.early_stop(s.withColumn("threshold", F.when(F.col("position") >= 13, 2.1).otherwise(0.0)).withColumn("last", F.col("position") == 39), 5)
     jobs.append_to(stops, str(tmp_path / "out"), str(tmp_path / "cp"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.traj_id, r.stopped_at) for r in got] == [("t", 13)]
