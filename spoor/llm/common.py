@@ -31,6 +31,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def free(columns: Sequence[str], name: str) -> str:
+    """The name, with a line below it for as long as the table has it (column names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

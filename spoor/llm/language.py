@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import free, mix
 
 SIZES = (1, 2, 3)
 TOP = 300
@@ -160,7 +160,7 @@ def profiles(train: DataFrame, top: int = TOP) -> dict[str, list[int]]:
     return out
 
 
-def _predict(model: dict[str, list[int]], top: int):
+def _predict(model: dict[str, list[int]], top: int, at: int, kept: int, out: tuple[str, str]):
     langs = sorted(model)
     union = np.array(sorted({g for gs in model.values() for g in gs}), np.uint64)
     places = np.full((len(union) + 1, max(len(langs), 1)), -1, np.int32)  # the last row: in no profile
@@ -189,18 +189,27 @@ def _predict(model: dict[str, list[int]], top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got, scores = [], []
-            for a, z, k, c in counted(_strings(batch.column(batch.num_columns - 1))):
+            for a, z, k, c in counted(_strings(batch.column(at))):
                 names, s = scored(k, c, z - a)
                 got += names
                 scores.append(s)
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            cols = [batch.column(i) for i in range(kept)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(got, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))], names=[*batch.schema.names[:kept], *out])
 
     return run
 
 
-def identified(docs: DataFrame, model: dict[str, list[int]], keep: dict[str, Column], top: int = TOP) -> DataFrame:
-    """The columns of `keep`, then lang_pred and score of `text`."""
-    rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_predict(model, top), f"{kinds}, lang_pred string, score double")
+def identified(docs: DataFrame, model: dict[str, list[int]], keep: dict[str, Column], top: int = TOP, text: str | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of `keep`, then language and score of `text`, named by `out`.
+
+    `text` names the column of `keep` that is the text itself, a string, which
+    then goes to Python once.
+    """
+    kept = docs.select(*[c.alias(n) for n, c in keep.items()])
+    names = kept.columns
+    if text is None or kept.schema[text].dataType.simpleString() != "string":
+        rows, at = docs.select(*[c.alias(n) for n, c in keep.items()], F.col("text").cast("string").alias(free(names, "text_read"))), len(names)
+    else:
+        rows, at = kept, names.index(text)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
+    return rows.mapInArrow(_predict(model, top, at, len(names), out), f"{kinds}, `{out[0]}` string, `{out[1]}` double")

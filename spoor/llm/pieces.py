@@ -13,8 +13,8 @@ scoring segmentation, not the order of merges.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 the mark character itself decodes to a blank; repeated rows stay; an empty table
-gives an empty result; columns other than those asked for are not read. A worker
-keeps a memory of words of bounded size.
+gives an empty result; columns other than those asked for are not read. A task
+keeps a memory of words of bounded size; a very long word is not kept.
 """
 
 from __future__ import annotations
@@ -30,12 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 MARK = "▁"
+#: Bytes that the memory of words holds, about; a word over LONG characters is not kept.
+MEMORY = 48 << 20
+LONG = 256
 _END = ""  # key of a node's own piece: no character is empty
 
 
+def _weight(word: str) -> int:
+    """Bytes that a word and its ids take in the memory, about."""
+    return 220 + 3 * len(word)
+
+
 class Pieces:
-    def __init__(self, path: str, bound: int = 250_000):
+    def __init__(self, path: str, bound: int = MEMORY):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
@@ -68,6 +78,7 @@ class Pieces:
         lines = not any("\n" in p for p in map(sp.id_to_piece, range(n)))
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+" if lines else f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.bound = bound
 
     def _fallback(self, c: str) -> list[int]:
@@ -125,12 +136,22 @@ class Pieces:
         cut = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         seen = set().union(*cut)
         new = [w for w in seen if w not in self.known]
-        if len(self.known) + len(new) > self.bound:  # the oldest are the most frequent
-            self.known = dict(islice(self.known.items(), self.bound // 2))
+        if self.held + sum(map(_weight, new)) > self.bound:  # the oldest are the most frequent
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(map(_weight, self.known))
             new = [w for w in seen if w not in self.known]
         self.solve(new)
         known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        out = [b"".join([known[w] for w in ws]) for ws in cut]
+        self.held += sum(map(_weight, new))
+        for w in new:
+            if len(w) > LONG:
+                self.held -= _weight(w)
+                del known[w]
+        return out
+
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
         """The texts of ids[off[i]:off[i + 1]]: all pieces' bytes are gathered at once."""
@@ -165,10 +186,17 @@ def _kinds(df: DataFrame) -> str:
 
 def encoded(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
     """The columns of `keep`, then ids (array of int) of `text`."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
+    own = free(keep, "text_read")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model)
+        try:
+            yield from each(batches, p)
+        finally:
+            p.forget()  # a worker goes on to other stages
+
+    def each(batches: Iterator[pa.RecordBatch], p: Pieces) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = ["" if x is None else x for x in batch.column(len(keep)).to_pylist()]
             for a, z in _runs([len(t) for t in texts]):
@@ -180,7 +208,7 @@ def encoded(docs: DataFrame, model: str, keep: list[str]) -> DataFrame:
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([*[c.slice(a, z - a) for c in batch.columns[:-1]], ids], names=[*keep, "ids"])
 
-    return rows.mapInArrow(run, ", ".join(x for x in (_kinds(rows.drop("__text")), "ids array<int>") if x))
+    return rows.mapInArrow(run, ", ".join(x for x in (_kinds(rows.drop(own)), "ids array<int>") if x))
 
 
 def decoded(rows: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import components, encoded, hashed_words, mix, steps
+from .common import components, encoded, free, hashed_words, mix, steps
 
 #: Groups above this are cut by the next two of four blocks of their free 32 bits; such a part has at most 2**16 members.
 HOT = 2048
@@ -341,16 +341,17 @@ def without_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8
     pairs at similarity 0.8 share one with probability 0.9999.
     """
     names = docs.columns
+    g, m, least, bg, bm = (free(names, n) for n in ("near_g", "near_m", "near_least", "near_bg", "near_bm"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("__g"), F.md5(text).alias("__m"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias(g), F.md5(text).alias(m))
     # a text is known by both hashes; as a node by one made of them
-    nodes = stage(keyed.groupBy("__g", "__m").agg(F.min("doc_id").alias("least"), F.first(text).alias("text")).withColumn("g", F.xxhash64("__g", "__m")))
+    nodes = stage(keyed.groupBy(g, m).agg(F.min("doc_id").alias("least"), F.first(text).alias("text")).withColumn("g", F.xxhash64(g, m)))
     found = components(near_copies(nodes.select("g", "text"), width, similarity))
-    named = nodes.select("__g", "__m", "least", "g").join(found, F.col("g") == F.col("node"), "left")
+    named = nodes.select(g, m, "least", "g").join(found, F.col("g") == F.col("node"), "left")
     named = named.withColumn("root", F.coalesce("root", "g"))
     # empty texts are equal texts; null ids come last
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "__m", "__g")).alias("b")).select("b.least", F.col("b.__g").alias("bg"), F.col("b.__m").alias("bm"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", m, g)).alias("b")).select(F.col("b.least").alias(least), F.col(f"b.{g}").alias(bg), F.col(f"b.{m}").alias(bm))
     # not an equality, so that both steps are dealt by the text's hashes
-    chosen = F.coalesce(F.col("doc_id") == F.col("least"), F.col("doc_id").isNull() & F.col("least").isNull())
-    kept = keyed.join(best, (F.col("__g") == F.col("bg")) & (F.col("__m") == F.col("bm")) & chosen)
-    return kept.dropDuplicates(["__g", "__m"]).select(*[F.col(f"`{c}`") for c in names])
+    chosen = F.coalesce(F.col("doc_id") == F.col(least), F.col("doc_id").isNull() & F.col(least).isNull())
+    kept = keyed.join(best, (F.col(g) == F.col(bg)) & (F.col(m) == F.col(bm)) & chosen)
+    return kept.dropDuplicates([g, m]).select(*[F.col(f"`{c}`") for c in names])

@@ -105,6 +105,15 @@ class EliasFano:
         return out
 
 
+#: Bytes that the memory of words holds, about; a word over LONG characters is not kept.
+MEMORY = 72 << 20
+LONG = 256
+
+
+def _weight(word: str, ids: bytes) -> int:
+    return 190 + len(word) + len(ids)
+
+
 class Words:
     """Encodes texts word by word through memories of bounded size.
 
@@ -115,14 +124,14 @@ class Words:
     special tokens) are encoded whole by the tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 450_000):
+    def __init__(self, path: str, bound: int = MEMORY):
         import json
 
         import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
-        self.tok, self.bound, self.words, self.parts = Tokenizer.from_file(path), bound, {}, {}
+        self.tok, self.bound, self.words, self.held = Tokenizer.from_file(path), bound, {}, 0
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         steps = told["pre_tokenizer"]["pretokenizers"]
@@ -139,11 +148,10 @@ class Words:
         return array("I", [t.id for t in self.merge(shown)]).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > self.bound:  # the oldest are the most frequent
-            self.words = dict(islice(self.words.items(), self.bound // 2))
-        if len(self.parts) > self.bound:
-            self.parts = dict(islice(self.parts.items(), self.bound // 2))
-        parts = self.parts
+        if self.held > self.bound:  # the oldest are the most frequent
+            self.words = dict(islice(self.words.items(), len(self.words) // 2))
+            self.held = sum(map(_weight, self.words, self.words.values()))
+        known = self.words
         for w in words:
             if w.isalpha():  # the pattern takes letters in a row as one piece
                 cut = (w,)
@@ -151,10 +159,13 @@ class Words:
                 cut = (w[:-1], w[-1])
             else:
                 cut = self.pieces(w)
-            for p in cut:
-                if p not in parts:
-                    parts[p] = self._piece(p)
-            self.words[w] = parts[w] if w in parts else b"".join([parts[p] for p in cut])
+            for p in cut:  # a piece is cut into itself, so it is a word like any other
+                if p not in known:
+                    known[p] = got = self._piece(p)
+                    self.held += _weight(p, got)
+            if w not in known:
+                known[w] = got = b"".join([known[p] for p in cut])
+                self.held += _weight(w, got)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
@@ -166,9 +177,14 @@ class Words:
             self._learn(new)
             lost = [w for w in seen if w not in self.words]  # what the bound has pushed out
             for w in lost:
-                self.words[w] = b"".join([self._piece(p) for p in self.pieces(w)])
+                self.words[w] = got = b"".join([self._piece(p) for p in self.pieces(w)])
+                self.held += _weight(w, got)
         words = self.words
-        return [self._whole(t) if ws is None else b"".join([words[w] for w in ws]) for t, ws in zip(texts, cut)]
+        out = [self._whole(t) if ws is None else b"".join([words[w] for w in ws]) for t, ws in zip(texts, cut)]
+        for w in new:
+            if len(w) > LONG and w in words:
+                self.held -= _weight(w, words.pop(w))
+        return out
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()

@@ -122,3 +122,16 @@ def test_near_copies_of_a_large_family(spark, monkeypatch):
     RNG.shuffle(rows)
     kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def test_stages_hold_with_columns_that_clash(spark):
+    """A table that already has the inner and outer names of the stages keeps them as they are."""
+    names = ("hits", "lang_pred", "score", "text_read", "near_g", "near_m", "t", "root", "least", "node", "key")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    sf = "/root/testdata/sf0.001"
+    for _, stage in pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
