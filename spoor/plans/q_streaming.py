@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..streaming import jobs, state
+from ..streaming import jobs, state, tables
 from . import fixtures as fx
 from .inputs import WINDOW, confs
 from .q_sources import _dir
@@ -32,10 +32,26 @@ def _appended(spark, stream, name):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def _events(spark, sf):
+def _utc_events(spark, sf):
     """Events with their wall-clock times read as UTC instants, which watermarks need."""
     utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
-    return _as_stream(spark, sf, "events", lambda: fx.table(spark, sf, "events").withColumn("ts", utc))
+    return fx.table(spark, sf, "events").withColumn("ts", utc)
+
+
+def _events(spark, sf):
+    return _as_stream(spark, sf, "events", lambda: _utc_events(spark, sf))
+
+
+def _in_time(spark, sf):
+    """Events whose files arrive in the order of their times, so that a query takes several batches and none is late."""
+
+    def build():
+        e = _utc_events(spark, sf)
+        span = F.broadcast(e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")))  # one row
+        part = (F.col("ts").cast("double") - F.col("a").cast("double")) / F.greatest(F.col("b").cast("double") - F.col("a").cast("double"), F.lit(1.0))
+        return e.crossJoin(span).withColumn("turn", F.floor(part * (BATCHES * SPAN))).drop("a", "b")
+
+    return _batches(spark, sf, "events_in_time", build, "turn", "event_id")
 
 
 @query("T01_append_results", "SELECT event_id, user_id, value FROM events", "value")
@@ -53,8 +69,22 @@ def t02(spark, sf):
 @query("T02_last_wins", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def t02b(spark, sf):
     out = _dir(spark, "t02b")
-    jobs.last_wins(_events(spark, sf).select("user_id", "event_id"), "user_id", "event_id", out, f"{out}-checkpoint")
-    return jobs.newest(spark, out, "user_id long, event_id long")
+    events = _in_time(spark, sf).select("user_id", "event_id")
+    tables.keep(events, out, f"{out}-checkpoint", ["user_id"], "event_id")
+    return tables.read(spark, out, events.schema)
+
+
+@query("T02_first_arrival", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def t02c(spark, sf):
+    """First events arrive first, all repeats of an id in later batches; within ten years a repeat is dropped."""
+
+    def build():
+        e = _utc_events(spark, sf).select("user_id", "event_id", "ts")
+        first = e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+        return e.join(first, "user_id").select("user_id", "event_id", "ts", F.when(F.struct("ts", "event_id") == F.col("f"), 0).otherwise(F.lit(SPAN)).alias("turn"))
+
+    s = _batches(spark, sf, "repeats", build, "turn", "user_id")
+    return _appended(spark, jobs.first_wins(s.select("user_id", "event_id", "ts"), "user_id", "ts", "3650 days"), "t02c").drop("ts")
 
 
 def _ends(rows, key, *order):
@@ -63,17 +93,17 @@ def _ends(rows, key, *order):
     return rows.join(top, key).withColumn("last", F.struct(*order) == F.col("top")).drop("top")
 
 
-def _in_turns(spark, path, rows, order):
+def _in_turns(spark, path, rows, order, key):
     """Files that arrive one after another in order of position, a trajectory in one file at a time, so that a query takes several batches."""
     for k in range(BATCHES):
-        rows.filter(F.least(F.floor(F.col(order) / SPAN), F.lit(BATCHES - 1)) == k).repartition(4, "traj_id").write.mode("append").parquet(path)
+        rows.filter(F.least(F.floor(F.col(order) / SPAN), F.lit(BATCHES - 1)) == k).repartition(4, key).write.mode("append").parquet(path)
 
 
-def _batches(spark, sf, name, build, order="position"):
+def _batches(spark, sf, name, build, order="position", key="traj_id"):
     def write():
         path = _dir(spark, name)
         rows = build()
-        _in_turns(spark, path, rows, order)
+        _in_turns(spark, path, rows, order, key)
         return spark.createDataFrame([(path,)], "path string")
 
     path = shared(f"batches_{name}", spark, sf, write).first()["path"]
@@ -160,7 +190,9 @@ def t07(spark, sf):
 def t08(spark, sf):
     s = _as_stream(spark, sf, "evals", lambda: fx.evals(spark, sf))
     out = _dir(spark, "t08")
-    return jobs.collect_updates(jobs.running_votes(s), out, f"{out}-checkpoint")
+    votes = jobs.running_votes(s)
+    tables.keep(votes, out, f"{out}-checkpoint", ["problem_id", "extracted_answer"], mode="update")
+    return tables.read(spark, out, votes.schema)
 
 
 @query(
@@ -169,7 +201,20 @@ def t08(spark, sf):
     "mean_value",
 )
 def t08b(spark, sf):
-    counts = jobs.tumbling_counts(_events(spark, sf), "ts", "1 day", "1 hour")
+    counts = jobs.tumbling_counts(_in_time(spark, sf), "ts", "1 day", "1 hour")
     out = _dir(spark, "t08b")
-    got = jobs.collect_updates(counts, out, f"{out}-checkpoint")
+    tables.keep(counts, out, f"{out}-checkpoint", ["window", "event_type"], mode="update")
+    got = tables.read(spark, out, counts.schema)
+    return got.select(F.unix_timestamp("window.start").alias("day_start"), "event_type", "n", "mean_value")
+
+
+@query(
+    "T08_closed_windows",
+    """SELECT CAST(epoch(day) AS BIGINT) AS day_start, event_type, count(*) AS n, avg(value) AS mean_value FROM (SELECT *, time_bucket(INTERVAL 1 DAY, ts) AS day FROM events)
+    WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY day, event_type""",
+    "mean_value",
+)
+def t08c(spark, sf):
+    """Only windows that the watermark has passed, each given out once."""
+    got = _appended(spark, jobs.tumbling_counts(_in_time(spark, sf), "ts", "1 day", "1 hour"), "t08c")
     return got.select(F.unix_timestamp("window.start").alias("day_start"), "event_type", "n", "mean_value")

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, form: str = "parquet") -> DataFrame:
@@ -36,36 +35,6 @@ def first_wins(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def last_wins(stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> None:
-    """T-02: keep-last: each batch replaces the rows of its ids in a versioned table folder.
-
-    Every batch writes the folder `v=<batch>` from the newest earlier one, so a
-    repeated batch after a failure rewrites its own folder and nothing else.
-    """
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch_id - 1}")
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if batch_id > 0 and fs.exists(fs_path):
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}")
-            both = old.unionByName(new)
-            new = both.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def newest(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """T-02/T-08: the table that the last batch left in a versioned folder; the path may be in any store that Spark reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
-    return spark.read.schema(schema).parquet(f"{path}/v={max(versions)}")
-
-
 def _ordered_fold(stream: DataFrame, step: Callable, out: str, state: str, start: tuple, order: str = "position") -> DataFrame:
     """Per trajectory: `step(state, rows sorted by order) -> (state, output rows)` with the state kept between batches.
 
@@ -127,20 +96,6 @@ def running_votes(stream: DataFrame) -> DataFrame:
 
 
 def tumbling_counts(stream: DataFrame, time: str, width: str, delay: str) -> DataFrame:
-    """T-08: event-time counts with late data bounded by the watermark."""
+    """T-08: event-time counts. In append mode a window is given out once the watermark has passed it and is then forgotten, and rows that come later are left out."""
     g = stream.withWatermark(time, delay).groupBy(F.window(time, width), "event_type")
     return g.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
-
-
-def collect_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run an aggregation over what is available; each batch writes its whole table as the next version of `path`.
-
-    The newest version is returned. Executors write it, so its size is not the driver's concern.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
-
-    q = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return newest(stream.sparkSession, path, stream.schema)
