@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     q_corpus,
     q_entropy,
     q_metrics,
+    q_names,
     q_phases,
     q_sources,
     q_streaming,

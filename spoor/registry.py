@@ -1,14 +1,16 @@
-"""Extension points by name: scores, selectors, readers, extractors (U-01 .. U-07)."""
+"""Extension points by name: scores, selectors, adapters, extractors, post-processors (U-01 .. U-07)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import centroid, phases, voting
+from .functions import table_functions, text
+from .operators import centroid, metrics, phases, voting
 from .operators.corpus import ngrams
+from .sources.adapters import ADAPTERS
 
 SCORES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "entropy_mean": centroid.score_entropy_mean,
@@ -34,6 +36,46 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+POST_PROCESSORS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def post_processor(*names: str) -> Callable:
+    """U-05: register a step `DataFrame -> DataFrame` behind grading under one or more names; a name is given once."""
+
+    def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        for name in names:
+            if name in POST_PROCESSORS:
+                raise ValueError(f"post-processor {name} is there already")
+            POST_PROCESSORS[name] = fn
+        return fn
+
+    return add
+
+
+@post_processor("self-correction", "self-correction-with-needle")
+def self_correction(samples: DataFrame, max_rounds: int = 15) -> DataFrame:
+    """Graded samples with error, is_correct and round: the status that decides about another round."""
+    return metrics.routed(samples, max_rounds)
+
+
+@post_processor("normalised")
+def normalised(samples: DataFrame, column: str = "extracted_answer") -> DataFrame:
+    return samples.withColumn(column, text.normalise_answer(F.col(column)))
+
+
+@post_processor("answer_key")
+def keyed(samples: DataFrame, column: str = "extracted_answer") -> DataFrame:
+    return samples.withColumn("key", voting.answer_key(F.col(column)))
+
+
+def process(rows: DataFrame, name: str | None, **params) -> DataFrame:
+    """U-05: a post-processor by name; rows of a mode that has none pass through unchanged."""
+    if name is not None and not isinstance(name, str):
+        raise TypeError(f"a post-processor is named by a string, not {name!r}")
+    fn = POST_PROCESSORS.get(name)
+    return rows if fn is None else fn(rows, **params)
+
+
 def select(rows: DataFrame, name: str, **params) -> DataFrame:
     """Run a selector by name: `rows.transform(select, "majority_voting")`."""
     return SELECTORS[name](rows, **params)
@@ -48,7 +90,8 @@ def extract(column: Column, task_type: str) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """U-06/U-07: the estimators as SQL functions and n-grams as a SQL function over built-in expressions."""
+    """U-06/U-07: the estimators as SQL functions, n-grams as a SQL function over built-in expressions, phases and steps as table functions."""
+    table_functions.register(spark)
     spark.sql(
         """CREATE OR REPLACE TEMPORARY FUNCTION pass_at_k(n BIGINT, c BIGINT, k BIGINT) RETURNS DOUBLE RETURN
         CASE WHEN n - c < k THEN 1D WHEN c <= 0 THEN 0D
@@ -66,4 +109,6 @@ def register_sql(spark: SparkSession) -> None:
     )
 
 
-__all__ = ["SCORES", "SELECTORS", "EXTRACTORS", "select", "score", "extract", "register_sql", "phases", "ngrams"]
+__all__ = [
+    "ADAPTERS", "EXTRACTORS", "POST_PROCESSORS", "SCORES", "SELECTORS", "extract", "ngrams", "phases", "post_processor", "process", "register_sql", "score", "select",
+]
