@@ -35,17 +35,53 @@ def gram_rows(df: DataFrame, key: str, text: Column, n: int) -> DataFrame:
     return df.select(key, words(text).alias("words")).select(key, F.explode(ngrams(F.col("words"), n)).alias("ngram"))
 
 
+HASH = ["gram_a", "gram_b"]
+
+
+def _hash(words: Column) -> list[Column]:
+    """128 bits of a run of word hashes, as two differently seeded 64-bit hashes."""
+    return [F.xxhash64(words).alias(HASH[0]), F.xxhash64(F.lit(1), words).alias(HASH[1])]
+
+
+def _runs(df: DataFrame, keep: Sequence[Column | str], text: Column) -> DataFrame:
+    """Words and their hashes as columns of their own, since a lambda would split and hash the text anew for every n-gram."""
+    w = df.select(*keep, words(text).alias("words"))
+    return w.select("*", F.transform("words", lambda x: F.xxhash64(x)).alias("hashes"))
+
+
+def _starts(n: int) -> Column:
+    """Places where a run of n words starts; shorter lists have none."""
+    size = F.size("hashes")
+    return F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def item_grams(items: DataFrame, key: str, text: Column, n: int) -> DataFrame:
+    """Distinct n-grams of items with their hash."""
+    at = _runs(items, [key], text).select(key, "words", "hashes", F.explode(_starts(n)).alias("i"))
+    return at.select(key, F.array_join(F.slice("words", F.col("i"), n), " ").alias("ngram"), *_hash(F.slice("hashes", F.col("i"), n))).distinct()
+
+
+def corpus_hits(docs: DataFrame, mine: DataFrame, n: int, keep: Sequence[Column] = ()) -> DataFrame:
+    """Distinct hashes of items that the corpus holds, with the columns of `keep`.
+
+    Of the corpus only 16 bytes per n-gram leave the scan. The item side is far
+    smaller: where Spark measures that it fits it is broadcast and nothing of the
+    corpus is exchanged but hits; else hashes meet in a shuffle.
+    """
+    theirs = _runs(docs, keep, F.col("text"))
+    names = [c for c in theirs.columns if c not in ("words", "hashes")]
+    theirs = theirs.select(*names, "hashes", F.explode(_starts(n)).alias("i")).select(*names, *_hash(F.slice("hashes", F.col("i"), n)))
+    return theirs.join(mine.select(*HASH).distinct(), HASH, "left_semi").distinct()
+
+
 def shared_grams(items: DataFrame, docs: DataFrame, n: int, item_key: str = "item_id", text: str = "text") -> DataFrame:
-    """D-02/J-09: (item, n-gram) rows whose n-gram is in the corpus.
+    """D-02/J-09: (item, n-gram) rows whose n-gram is in the corpus; n-grams are compared by 128 bits of hash.
 
-    Corpus n-grams go through distinct first, with map-side combine: a passage
-    copied into a third of the corpus is one row before the exchange, and
-    n-grams without a chance are removed by the join on the far smaller item side.
+    Words are hashed once each and n-grams from the hashes of their words, so the
+    corpus' n-grams are never built as strings.
     """
-    mine = gram_rows(items, item_key, prompt_text(F.col(text)), n)
-    theirs = docs.select(words(F.col("text")).alias("words")).select(F.explode(ngrams(F.col("words"), n)).alias("ngram"))
-    hits = theirs.join(mine.select("ngram").distinct(), "ngram", "left_semi").distinct()
-    return mine.join(hits, "ngram", "left_semi")
+    mine = item_grams(items, item_key, prompt_text(F.col(text)), n)
+    return mine.join(corpus_hits(docs, mine, n), HASH, "left_semi").select(item_key, "ngram")
 
 
 def contaminated_items(items: DataFrame, docs: DataFrame, n: int, item_key: str = "item_id") -> DataFrame:
@@ -61,10 +97,9 @@ def overlap_percentage(items: DataFrame, docs: DataFrame, n: int, item_key: str
 
 def shard_hits(items: DataFrame, docs: DataFrame, shard: str, n: int, item_key: str = "item_id", text: str = "text") -> DataFrame:
     """D-03: distinct (shard, item) rows whose n-grams meet, all shards in one scan; a null shard is one of its own."""
-    mine = gram_rows(items, item_key, prompt_text(F.col(text)), n)
-    theirs = docs.select(F.col(shard).alias("shard"), words(F.col("text")).alias("words")).select("shard", F.explode(ngrams(F.col("words"), n)).alias("ngram"))
-    hits = theirs.join(mine.select("ngram").distinct(), "ngram", "left_semi").distinct()
-    return hits.join(mine, "ngram").select("shard", item_key).distinct()
+    mine = item_grams(items, item_key, prompt_text(F.col(text)), n)
+    hits = corpus_hits(docs, mine, n, [F.col(shard).alias("shard")])
+    return hits.join(mine, HASH).select("shard", item_key).distinct()
 
 
 def sharded_overlap(hits: DataFrame, items: DataFrame, item_key: str = "item_id") -> DataFrame:

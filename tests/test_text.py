@@ -87,3 +87,16 @@ def test_structured(spark):
     assert a[0] == a[1] and a[2:] == ["ab", '"x"']
     assert apply(spark, tx.alphanumeric, "[[A-b 1]]") == ["ab1"]
     assert apply(spark, tx.cutoff_applied, "a  \n", "a") == [True, False]
+
+
+def test_shared_grams_by_hash(spark):
+    """Short, empty and null texts, repeats, and runs that differ in one word or in where a word ends."""
+    from spoor.operators import corpus
+
+    items = spark.createDataFrame([(1, "a b c d"), (2, "a b"), (3, None), (4, ""), (5, "x a b c ```a b d"), (6, "ab c d")], "item_id int, text string")
+    docs = spark.createDataFrame([("a  b c", "s"), ("a b c", None), ("a bc d", "s"), (None, "s"), ("", "t")], "text string, shard string")
+    got = sorted(map(tuple, corpus.shared_grams(items, docs, 3).collect()))
+    assert got == [(1, "a b c"), (5, "a b c")]
+    hits = corpus.shard_hits(items, docs, "shard", 3).collect()
+    assert {tuple(r) for r in hits} == {("s", 1), ("s", 5), (None, 1), (None, 5)}
+    assert corpus.overlap_percentage(items, docs.limit(0), 3).first()["overlap_percent"] == 0.0
