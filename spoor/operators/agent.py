@@ -234,6 +234,40 @@ def failure_shares(rows: DataFrame) -> DataFrame:
     )
 
 
+def check_failures(rows: DataFrame, keys: Sequence[str] = ("llm", "domain"), mode: str = "default", leave_out: str = "telecom") -> DataFrame:
+    """A-18: share of failed database and communication checks among those made, 0 where none was made.
+
+    Runs of one mode; domains that begin with `leave_out` are kept apart. A check
+    that is null was not made.
+    """
+    some = rows.filter((F.col("mode") == mode) & ~F.col("domain").startswith(leave_out))
+    share = lambda c: F.coalesce(F.try_divide(F.count_if(~F.col(c)), F.count(c)), F.lit(0.0))
+    return some.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count("database").alias("db_checks"), F.count("communication").alias("communication_checks"),
+        share("database").alias("db_failures"), share("communication").alias("communication_failures"),
+    )
+
+
+EDGES = [i * 0.1 for i in range(11)]
+
+
+def write_proportions(rows: DataFrame, mode: str = "default", domain: str = "telecom", failed_only: bool = False) -> DataFrame:
+    """A-18: how many runs have which share of their write actions right, in tenths, per model and length class.
+
+    The class goes by the number of write actions; a run without any has none. The
+    last tenth holds 1. `failed_only` leaves out runs that succeeded.
+    """
+    n = F.col("num_write_action")
+    size = F.when(n.between(1, 3), "short").when(n.between(4, 6), "medium").when(n >= 7, "long")
+    some = rows.filter((F.col("mode") == mode) & (F.col("domain") == domain) & (n >= 1))
+    if failed_only:
+        some = some.filter(~F.col("success"))
+    share = F.col("num_correct_write_action") / n
+    below = F.size(F.filter(F.array(*[F.lit(e) for e in EDGES]), lambda e: e <= F.col("share")))
+    some = some.select("llm", size.alias("length_class"), share.alias("share")).withColumn("bin", F.least(below, F.lit(len(EDGES) - 1)) - 1)
+    return some.groupBy("llm", "length_class", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_histogram(rows: DataFrame) -> DataFrame:
     return rows.groupBy("num_write_action", "num_correct_write_action").agg(F.count(F.lit(1)).alias("n"))
 

@@ -25,12 +25,14 @@ def position_entropy(cands: DataFrame, keys: Sequence[str], k: int = 20) -> Data
     """E-01 long form: -sum p ln p with p = exp(lp) / sum exp(lp), over the at most k values of a position.
 
     No difference of large terms is taken: one candidate gives exactly 0, and nothing is negative.
+    The sum is taken over the partition and order in which the ranks were given, and
+    the aggregation follows in it: one exchange, one sort, no list.
     """
-    some = top_candidates(cands, keys, k).groupBy(*keys).agg(F.array_sort(F.collect_list(F.exp("logprob"))).alias("e"), F.count(F.lit(1)).alias("n_candidates"))
-    some = some.withColumn("s", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
-    p = lambda x: x / F.col("s")
-    h = F.aggregate("e", F.lit(0.0), lambda a, x: a - F.when(x > 0, p(x) * F.ln(p(x))).otherwise(0.0))
-    return some.select(*keys, F.when(F.col("s") > 0, F.greatest(h, F.lit(0.0))).otherwise(0.0).alias("entropy"), "n_candidates")
+    some = top_candidates(cands, keys, k).select(*keys, F.exp("logprob").alias("__e"))
+    p = F.col("__e") / F.sum("__e").over(W.partitionBy(*keys))
+    some = some.select(*keys, F.when(F.col("__e") > 0, p).alias("__p"))
+    h = F.coalesce(F.sum(-F.col("__p") * F.ln("__p")), F.lit(0.0))
+    return some.groupBy(*keys).agg((F.greatest(h, F.lit(0.0)) + F.lit(0.0)).alias("entropy"), F.count(F.lit(1)).alias("n_candidates"))
 
 
 def position_probs(cands: DataFrame, keys: Sequence[str], k: int = 20) -> DataFrame:
@@ -108,6 +110,22 @@ def merge_turns(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return turns.join(offs, ["run_id", "turn"]).withColumn("position", F.col("offset") + F.col("position")).drop("offset")
 
 
+def rebanded(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E-09: the merged run with bands over all its turns, and its statistics.
+
+    Ranks and shares of a turn do not carry over to the run, so tokens are ranked
+    anew in the merged positions; a run may span tasks, as in `banded`. Columns of
+    an earlier banding of the turns are replaced.
+    """
+    merged = merge_turns(turns.drop("percentile", "color"))
+    bands = banded(merged, ["run_id"])
+    hot = F.count_if(F.col("color") != "black")
+    shares = bands.groupBy("run_id").agg(F.count_distinct("turn").alias("turns"), hot.alias("high_entropy_count"), *[F.count_if(F.col("color") == c).alias(c) for c in ("red", "pink", "purple")])
+    valid = F.col("valid_tokens")
+    share = F.when(valid > 0, F.col("high_entropy_count") / valid).otherwise(0.0)
+    return bands, statistics(merged, ["run_id"]).join(shares, "run_id").withColumn("high_entropy_ratio", share)
+
+
 def provider_tokens(df: DataFrame, content: str = "content", k: int = 20) -> DataFrame:
     """E-10: provider log-probability arrays to token rows; missing ids become indexes."""
     from ..functions.probs import entropy, renormalised

@@ -48,20 +48,26 @@ def semantic_entropy(sets: DataFrame, embeddings: DataFrame, threshold: float =
     """E-11. `sets` rows: traj_id, position, token, entropy, top_k_token_ids, top_k_probs.
 
     Connected components of at most k candidates: folding the edges once and
-    merging the two labels of each edge gives the components. A position without
-    any edge never leaves the map side of the edge join.
+    merging the two labels of each edge gives the components. Pairs are formed
+    once, to find those of the vocabulary that occur together; the similar ones
+    come back as one list per token, so a position sends its k candidates and
+    not its k(k-1)/2 pairs.
     """
-    near = similar_pairs(sets, embeddings, threshold)
-    edges = _pairs(sets).join(near, ["a", "b"]).groupBy(*POS).agg(
-        F.array_sort(F.collect_list(F.struct("i", "j"))).alias("edges")  # at most k(k-1)/2
-    )
+    kind = sets.schema["top_k_token_ids"].dataType.elementType
+    ids, none = F.col("top_k_token_ids"), F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)")
+    near = similar_pairs(sets, embeddings, threshold).filter("a <> b")
+    lists = near.groupBy("a").agg(F.collect_list("b").alias("near"))  # at most a vocabulary
+    each = sets.select(*POS, ids.alias("ids"), F.explode(F.array_distinct(ids)).alias("a")).join(lists, "a")
+    each = each.select(*POS, "a", F.array_intersect("near", "ids").alias("bs")).filter(F.size("bs") > 0)
+    pairs = F.transform("bs", lambda b: F.struct(F.col("a").cast("long").alias("a"), b.cast("long").alias("b")))
+    edges = each.groupBy(*POS).agg(F.array_sort(F.flatten(F.collect_list(pairs))).alias("edges"))  # at most k(k-1)/2
     n = F.size("top_k_token_ids")
     rows = sets.join(edges, POS, "left").withColumn("is_math", is_math_symbol(F.col("token")))
-    start = F.transform(F.col("top_k_token_ids"), lambda x, i: i)
+    at = lambda lab, x: F.get(lab, (F.array_position(ids, x.cast(kind)) - 1).cast("int"))
     labels = F.aggregate(
-        F.coalesce(F.col("edges"), F.expr("cast(array() as array<struct<i:int,j:int>>)")),
-        start,
-        lambda lab, e: F.transform(lab, lambda x: F.when(x == F.get(lab, e["j"]), F.get(lab, e["i"])).otherwise(x)),
+        F.coalesce(F.col("edges"), none),
+        F.transform(ids, lambda x: F.array_position(ids, x)),  # equal tokens start together
+        lambda lab, e: F.transform(lab, lambda x: F.when(x == at(lab, e["b"]), at(lab, e["a"])).otherwise(x)),
     )
     rows = rows.withColumn("labels", labels)
     mass = F.transform(

@@ -313,6 +313,38 @@ def a18(spark, sf):
     return ag.failure_shares(rows)
 
 
+CTES["reward_keys"] = "SELECT w.*, r.llm, r.domain, r.mode FROM reward_rows w JOIN runs r ON r.run_id = w.run_id"
+_FAILED = "coalesce(count(*) FILTER (NOT {0}) / CAST(nullif(count({0}), 0) AS DOUBLE), 0) AS {1}"
+_CHECKS = ", ".join(["count(*) AS n, count(database) AS db_checks, count(communication) AS communication_checks", _FAILED.format("database", "db_failures"), _FAILED.format("communication", "communication_failures")])
+
+
+def reward_keys(spark, sf):
+    keys = fx.runs(spark, sf).select("run_id", "llm", "domain", "mode")
+    return ag.reward_analysis(rewarded(spark, sf), ["A"], ["R"]).join(keys, "run_id")
+
+
+@query(
+    "A18_check_failures",
+    f"SELECT llm, domain, {_CHECKS} FROM reward_keys WHERE mode = '1-URGENT' AND NOT starts_with(domain, 'ASIA') GROUP BY llm, domain UNION ALL SELECT 'all' AS llm, domain, {_CHECKS} FROM reward_keys WHERE mode = '1-URGENT' AND NOT starts_with(domain, 'ASIA') GROUP BY domain",
+    "db_failures communication_failures",
+)
+def a18c(spark, sf):
+    """Per model and domain, then over all models."""
+    rows = reward_keys(spark, sf)
+    whole = ag.check_failures(rows, ["domain"], "1-URGENT", "ASIA").withColumn("llm", F.lit("all"))
+    return ag.check_failures(rows, ["llm", "domain"], "1-URGENT", "ASIA").unionByName(whole)
+
+
+@query(
+    "A18_write_proportions",
+    f"""SELECT llm, length_class, CAST(least(len(list_filter([{", ".join(f"CAST({e!r} AS DOUBLE)" for e in ag.EDGES)}], lambda e: e <= share)), 10) - 1 AS INT) AS bin, count(*) AS n
+    FROM (SELECT llm, num_correct_write_action / CAST(num_write_action AS DOUBLE) AS share, CASE WHEN num_write_action <= 3 THEN 'short' WHEN num_write_action <= 6 THEN 'medium' ELSE 'long' END AS length_class
+    FROM reward_keys WHERE mode = '1-URGENT' AND domain = 'ASIA' AND num_write_action > 0 AND NOT success) GROUP BY ALL""",
+)
+def a18d(spark, sf):
+    return ag.write_proportions(reward_keys(spark, sf), "1-URGENT", "ASIA", failed_only=True)
+
+
 @query("A18_write_histogram", "SELECT num_write_action, num_correct_write_action, count(*) AS n FROM reward_rows GROUP BY num_write_action, num_correct_write_action")
 def a18b(spark, sf):
     return ag.write_histogram(ag.reward_analysis(rewarded(spark, sf), ["A"], ["R"]))

@@ -147,6 +147,36 @@ def e09(spark, sf):
     return en.merge_turns(t)
 
 
+CTES["merged"] = """SELECT run_id, turn, position + CAST(coalesce(o.before, 0) AS BIGINT) AS position, entropy FROM
+    (SELECT problem_id AS run_id, traj_idx AS turn, CAST(position AS BIGINT) AS position, entropy FROM tokens) t
+    JOIN (SELECT problem_id AS run_id, traj_idx AS turn, sum(count(*)) OVER (PARTITION BY problem_id ORDER BY traj_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+          FROM tokens GROUP BY problem_id, traj_idx) o USING (run_id, turn)"""
+CTES["merged_bands"] = """SELECT *, CASE WHEN percentile < 1 THEN 'red' WHEN percentile < 3 THEN 'pink' WHEN percentile < 5 THEN 'purple' ELSE 'black' END AS color
+  FROM (SELECT m.*, CASE WHEN entropy IS NOT NULL THEN
+  (row_number() OVER (PARTITION BY run_id, entropy IS NULL ORDER BY entropy DESC, position) - 1) / CAST(count(entropy) OVER (PARTITION BY run_id) AS DOUBLE) * 100 END AS percentile FROM merged m)"""
+
+
+def turns(spark, sf):
+    """Tokens of a problem's trajectories as turns of one run, with the bands that each turn had alone."""
+    return bands(spark, sf).select(F.col("problem_id").alias("run_id"), F.col("traj_idx").alias("turn"), "position", "entropy", "percentile", "color")
+
+
+@query("E09_rebanded_runs", "SELECT run_id, turn, position, percentile, color FROM merged_bands", "percentile")
+def e09b(spark, sf):
+    return en.rebanded(turns(spark, sf))[0].select("run_id", "turn", "position", "percentile", "color")
+
+
+@query(
+    "E09_run_statistics",
+    f"""SELECT run_id, {_STATS}, count(DISTINCT turn) AS turns, count(*) FILTER (color <> 'black') AS high_entropy_count, count(*) FILTER (color = 'red') AS red,
+    count(*) FILTER (color = 'pink') AS pink, count(*) FILTER (color = 'purple') AS purple,
+    count(*) FILTER (color <> 'black') / CAST(count(entropy) AS DOUBLE) AS high_entropy_ratio FROM merged_bands GROUP BY run_id""",
+    _SD + " high_entropy_ratio",
+)
+def e09c(spark, sf):
+    return en.rebanded(turns(spark, sf))[1]
+
+
 @query(
     "E10_provider_tokens",
     """SELECT traj_num, position, 't' AS token, 0 AS token_id, sum(-p * ln(p)) AS entropy, max(CASE WHEN cand_rank = 1 THEN CAST(token_id AS INT) END) AS first_id

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import grading
 from ..operators.repetition import repeated
 from . import fixtures as fx
 from .registry import CTES, query
@@ -169,7 +170,10 @@ def x12(spark, sf):
     return _mapped(lambda c: tx.normalise_answer(tx.last_line(c)), "normalised")(spark, sf)
 
 
-@query("X13_normalised_text")
+CTES["words_only"] = r"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}]+'), lambda w: w NOT IN ('the', 'a', 'an')), '') AS t FROM documents"""
+
+
+@query("X13_normalised_text", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[^\p{L}\p{N}_\s]', '', 'g'), '[\s\p{Z}]+', ' ', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS h FROM words_only")
 def x13(spark, sf):
     d = fx.table(spark, sf, "documents")
     return d.select("doc_id", F.md5(tx.normalise_text(F.col("text"))).alias("h"))
@@ -263,8 +267,68 @@ def x19(spark, sf):
 def x20(spark, sf):
     """The whole job: extraction cascade, then comparison with the truth."""
     g = gen(spark, sf).withColumn("a", tx.answer_with_metadata(F.col("body")))
-    c = tx.compare_answers(F.col("truth"), F.col("a.answer"))
-    return g.select("doc_id", F.col("a.answer").alias("extracted_answer"), "a.method", c["is_correct"].alias("is_correct"))
+    g = grading.compared(g.select("doc_id", F.col("a.answer").alias("extracted_answer"), "a.method", "truth"), "truth", "extracted_answer", "verdict")
+    return g.select("doc_id", "extracted_answer", "method", F.coalesce(F.col("verdict") != "failed", F.lit(False)).alias("is_correct"))
+
+
+# Samples of several task types in one table; some truths are whole solutions, some lie in a later column.
+CTES["samples"] = r"""SELECT doc_id, concat('q', CAST(doc_id AS STRING), '_traj_0') AS traj_id, CASE doc_id % 10 WHEN 2 THEN 'choice' WHEN 3 THEN 'logic' WHEN 9 THEN NULL ELSE 'math' END AS task_type,
+  CASE WHEN doc_id % 4 > 0 THEN lang END AS subtype, body AS generated_text, CASE doc_id % 10 WHEN 7 THEN concat('so it is \boxed{', truth, '}') WHEN 8 THEN '' WHEN 9 THEN NULL ELSE truth END AS solution,
+  CASE WHEN doc_id % 10 = 8 THEN truth END AS answer, truth FROM gen"""
+
+
+def samples(spark, sf):
+    g, m = gen(spark, sf), F.col("doc_id") % 10
+    return g.select(
+        F.concat(F.lit("q"), F.col("doc_id").cast("string"), F.lit("_traj_0")).alias("traj_id"),
+        F.lit(None).cast("string").alias("original_id"),
+        F.when(m == 2, "choice").when(m == 3, "logic").when(m != 9, "math").alias("task_type"),
+        F.when(F.col("doc_id") % 4 > 0, F.col("lang")).alias("subtype"),
+        F.col("body").alias("generated_text"),
+        F.when(m == 7, F.concat(F.lit("so it is \\boxed{"), "truth", F.lit("}"))).when(m == 8, "").when(m != 9, F.col("truth")).alias("solution"),
+        F.when(m == 8, F.col("truth")).alias("answer"),
+        F.lit(None).cast("string").alias("final_answer"),
+    )
+
+
+def _float(e):
+    return f"CASE WHEN regexp_matches({e}, '^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$') THEN TRY_CAST(trim({e}) AS DOUBLE) END"
+
+
+def _number(e):
+    """A number, a fraction written with a slash, or a LaTeX fraction."""
+    s = _strip(f"replace({e}, chr(92), '')")
+    frac, slash = "^frac\\{([^}]+)\\}\\{([^}]+)\\}$", "^(\\d+(?:\\.\\d+)?)\\s*/\\s*(\\d+(?:\\.\\d+)?)$"
+    out = _float(f"replace({e}, chr(92), '')")
+    for p in (frac, slash):
+        n, d = (_float(f"regexp_extract({s}, '{p}', {k})") for k in (1, 2))
+        out = f"CASE WHEN regexp_matches({s}, '{p}') AND ({n}) IS NOT NULL AND ({d}) IS NOT NULL THEN CASE WHEN ({d}) <> 0 THEN ({n}) / ({d}) END ELSE {out} END"
+    return out
+
+
+def _cleaned(e):
+    for pattern, to in tx.CLEAN:
+        e = f"regexp_replace({e}, '{pattern}', '{to}', 'g')"
+    return f"regexp_replace({e}, '^[ ,;.]+|[ ,;.]+$', '', 'g')"
+
+
+CTES["sample_answers"] = f"""SELECT s.*, CASE task_type WHEN 'choice' THEN {_strip(f"coalesce({_all('generated_text', _B2)}[-1], {_all('generated_text', _B1)}[-1])")}
+  WHEN 'logic' THEN coalesce({_strip(_all('generated_text', '\\[\\[([^\\]]+)\\]\\]') + '[1]')}, {_strip(_all('generated_text', '(?is)<answer>(.*?)</answer>') + '[1]')}) ELSE c.answer END AS extracted,
+  CASE WHEN doc_id % 10 <> 9 THEN truth END AS ground_truth FROM samples s JOIN cascade c USING (doc_id)"""
+CTES["sample_numbers"] = f"""SELECT *, {_number("ground_truth")} AS x, {_number("extracted")} AS y, {_number("cleaned")} AS z FROM (SELECT *, {_cleaned("extracted")} AS cleaned FROM sample_answers)"""
+CTES["sample_methods"] = """SELECT *, CASE WHEN extracted IS NULL OR ground_truth IS NULL THEN 'none' WHEN task_type IN ('choice', 'logic') THEN concat(task_type, '_', coalesce(nullif(subtype, ''), 'unknown'))
+  WHEN ground_truth = extracted THEN 'exact' WHEN abs(x - y) <= 1e-9 + 1e-6 * abs(y) THEN 'numeric'
+  WHEN cleaned <> extracted AND cleaned <> '' AND ground_truth = cleaned THEN 'exact_cleaned' WHEN cleaned <> extracted AND cleaned <> '' AND abs(x - z) <= 1e-9 + 1e-6 * abs(z) THEN 'numeric_cleaned' ELSE 'failed' END AS method FROM sample_numbers"""
+
+
+@query(
+    "X20_mixed_grading",
+    """SELECT traj_id, concat('q', CAST(doc_id AS STRING)) AS original_id, task_type, extracted AS extracted_answer, ground_truth, method AS comparison_method,
+    CASE WHEN method = 'none' THEN false WHEN task_type IN ('choice', 'logic') THEN lower(replace(extracted, ' ', '')) = lower(replace(ground_truth, ' ', '')) ELSE method <> 'failed' END AS is_correct FROM sample_methods""",
+)
+def x20b(spark, sf):
+    """Rules by task type, truths from several columns or out of a box, one record per trajectory."""
+    return grading.graded(samples(spark, sf))
 
 
 @query("X21_answers_only", "SELECT doc_id, answer FROM cascade WHERE answer IS NOT NULL")
