@@ -1,8 +1,8 @@
 """Document fingerprints with column expressions only: a homomorphic multiset hash of paragraphs.
 
 A paragraph (line) has a wide vector: EXACT lanes of a keyed hash of the whole
-paragraph, and SKETCH lanes in which each of its word pairs adds +1 or -1 at a
-hashed place. A fingerprint is the sum over paragraphs, exact lanes modulo 2**32,
+paragraph, and SKETCH lanes in which each of its clauses adds +1 or -1 at a hashed
+place, so that likeness says little of texts with one or two clauses. A fingerprint is the sum over paragraphs, exact lanes modulo 2**32,
 sketch lanes modulo 2**16. So the order of paragraphs is without effect, and
 fingerprints add and subtract as paragraphs come and go (`combined`). Equality
 of texts is that of all lanes; likeness is the cosine of the sketch lanes.

@@ -6,10 +6,11 @@ number of distinct left neighbours over both classes, so an expression that is
 rare in either class says little, while new forms of a known expression share
 its beginning. A text's score is the difference of the two log-likelihoods per
 byte, put on a 0 to 1 scale by a logistic curve fitted on labelled rows that the
-counts have not seen.
+counts beneath it have not seen.
 
-Counts come from all labelled training rows but every CALIBRATION-th, by hash of
-id; the curve from at most CURVE_ROWS of those, the smallest hashes first. All
+The curve comes from at most CURVE_ROWS of every CALIBRATION-th labelled training
+row, by hash of id, the smallest hashes first, and from counts of all others. The
+model itself counts all labelled training rows, those of the curve too. All
 probabilities are worked out in joins of the counts; what is broadcast are two
 tables of log-ratios of fixed size (2**GRAM_BITS and 2**LEFT_BITS floats, 12 MB).
 
@@ -212,13 +213,17 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(texts.join(known.hint("merge"), "doc_id"))
 
 
+def _counted(rows: DataFrame) -> Model:
+    known, lefts = log_ratios(rows)
+    return Model(dense(known, GRAM_BITS), dense(lefts, LEFT_BITS))
+
+
 def train(rows: DataFrame) -> Model:
-    """A model of the rows that `labelled` gives."""
+    """A model of the rows that `labelled` gives: the curve by rows kept apart, the counts by all."""
     order = F.xxhash64(F.lit("curve"), "doc_id")
     held = F.pmod(order, F.lit(CALIBRATION)) == 0
-    known, lefts = log_ratios(rows.filter(~held))
-    model = Model(dense(known, GRAM_BITS), dense(lefts, LEFT_BITS))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    part_model = _counted(rows.filter(~held))
+    sent = rows.sparkSession.sparkContext.broadcast(part_model)
 
     def ratio(batches):
         for batch in batches:
@@ -227,8 +232,9 @@ def train(rows: DataFrame) -> Model:
 
     part = rows.filter(held).select(order.alias("o"), F.col("toxic").alias("y"), "packed").mapInArrow(ratio, "o long, y int, x double")
     got = part.orderBy("o", "y", "x").limit(CURVE_ROWS).collect()
-    model.curve = fitted_curve(np.array([r.x for r in got]), np.array([r.y for r in got], float))
     sent.unpersist()
+    model = _counted(rows)
+    model.curve = fitted_curve(np.array([r.x for r in got]), np.array([r.y for r in got], float))
     return model
 
 

@@ -60,6 +60,14 @@ def test_log_ratios_against_brute_force(spark):
     assert set(got) == every and all(math.isclose(got[g], math.log(chance(0, g) / chance(1, g)), abs_tol=1e-9) for g in every)
 
 
+def test_all_labelled_rows_are_counted(spark):
+    docs, labels = rows(spark, 90)
+    told = T.labelled(docs, labels)
+    model, (known, _) = T.train(told), T.log_ratios(told)
+    want = T.dense(known, T.GRAM_BITS)
+    assert np.allclose(model.known, want, atol=1e-5, equal_nan=True) and model.curve != (0.0, 0.0)
+
+
 def test_odd_rows_and_one_class(spark, documents, odd_rows):
     docs = documents(odd_rows)
     model = T.train(T.labelled(docs, spark.createDataFrame([(5, 1), (6, None), (7, 3), (None, 0)], "doc_id long, toxic int")))
