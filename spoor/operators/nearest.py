@@ -30,6 +30,11 @@ BLOCK = 8192
 CENTRES = 64
 SAMPLE = 4096
 RINGS = 4
+#: Blocks that smaller ones are cut into, over all rings, at most; a query travels once per open cell.
+CELLS = 256
+#: Visits of a batch, and inner products that a task holds at once.
+VISITS = 1 << 14
+PRODUCTS = 1 << 19
 _SLACK = 1e-9
 
 
@@ -68,6 +73,7 @@ def indexed(docs: DataFrame, centres: np.ndarray, rings: int = RINGS, block: int
     reach = told.groupBy("centre").agg(F.max("distance").alias("reach"))
     ring = F.when(F.col("reach") > 0, F.least(F.floor(F.col("distance") / F.col("reach") * rings), F.lit(rings - 1))).otherwise(0).cast("int")
     told = told.join(F.broadcast(reach), "centre").withColumn("ring", ring)  # a row per centre
+    block = max(block, min(BLOCK, -(-told.count() // CELLS)))  # counted from the checkpoint
     size = told.groupBy("centre", "ring").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
     cut = told.join(F.broadcast(size), ["centre", "ring"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     placed = stage(cut.withColumn("cell", F.concat_ws(".", "centre", "ring", "part")).select("doc_id", "embedding", "centre", "distance", "cell"))
@@ -81,8 +87,9 @@ def _visits(centres: np.ndarray, cells: pd.DataFrame, first: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for a in range(0, len(b), 1024):
-                part = b.iloc[a : a + 1024]
+            step = max(1, VISITS if first else VISITS // len(names))
+            for a in range(0, len(b), step):
+                part = b.iloc[a : a + step]
                 q = np.stack(part["embedding"].to_numpy()).astype(float)
                 near = q @ centres.T
                 bound = near[:, at] + np.sqrt((q * q).sum(1))[:, None] * radius[None]
@@ -104,9 +111,10 @@ def _best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"query_id": q["query_id"][:0], "doc_id": d["doc_id"][:0], "score": np.zeros(0)})
     d = d.sort_values("doc_id")
     m, ids, out = np.stack(d["embedding"].to_numpy()).astype(float).T, d["doc_id"].to_numpy(), []
-    for a in range(0, len(q), 1024):
-        own = q["query_id"].to_numpy()[a : a + 1024]
-        s = np.stack(q["embedding"].to_numpy()[a : a + 1024]).astype(float) @ m
+    step = max(1, PRODUCTS // len(d))
+    for a in range(0, len(q), step):
+        own = q["query_id"].to_numpy()[a : a + step]
+        s = np.stack(q["embedding"].to_numpy()[a : a + step]).astype(float) @ m
         s[own[:, None] == ids[None]] = -np.inf
         i = s.argmax(1)
         out.append(pd.DataFrame({"query_id": own, "doc_id": ids[i], "score": s[np.arange(len(s)), i]}))
@@ -114,9 +122,9 @@ def _best(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
     return got[np.isfinite(got["score"])]
 
 
-def _met(visits: DataFrame, placed: DataFrame, kinds: tuple[str, str], block: int) -> DataFrame:
-    """The best document of each visit: a cell meets its visitors in blocks."""
-    parts = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+def _met(visits: DataFrame, placed: DataFrame, kinds: tuple[str, str]) -> DataFrame:
+    """The best document of each visit: a cell, however small, meets its visitors in blocks of BLOCK and is copied for no fewer."""
+    parts = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     q = visits.join(parts, "cell").withColumn("k", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
     d = placed.join(parts.withColumnRenamed("cell", "at"), F.col("cell") == F.col("at")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     q, d = q.select("cell", "k", "query_id", "embedding"), d.select("cell", "k", "doc_id", "embedding")
@@ -137,8 +145,8 @@ def indexed_nearest(queries: DataFrame, docs: DataFrame, centres: int = CENTRES,
     placed, cells = indexed(docs.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")), found, rings, block)
     known = cells.toPandas()  # a row per `block` documents, and per ring
     shape = f"query_id {kinds[0]}, embedding array<double>, cell string"
-    first = stage(_met(asked.mapInPandas(_visits(found, known, True), shape), placed, kinds, block))
+    first = stage(_met(asked.mapInPandas(_visits(found, known, True), shape), placed, kinds))
     scored = asked.join(first.select(F.col("query_id").alias("q"), "score"), F.col("query_id") == F.col("q"), "left").drop("q")
-    rest = _met(scored.mapInPandas(_visits(found, known, False), shape), placed, kinds, block)
+    rest = _met(scored.mapInPandas(_visits(found, known, False), shape), placed, kinds)
     b = F.min(F.struct((-F.col("score")).alias("s"), "doc_id")).alias("b")
     return first.union(rest).groupBy("query_id").agg(b).select("query_id", F.col("b.doc_id").alias("doc_id"), (-F.col("b.s")).alias("score"))
