@@ -1,8 +1,11 @@
 """The metric index against all products, and how much of it stays closed."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 
-from spoor.operators import nearest
+from spoor.operators import corpus, nearest
 
 SCHEMA = "doc_id long, embedding array<float>"
 
@@ -51,3 +54,39 @@ def test_ties_repeats_and_empty(spark):
     one = docs.filter("doc_id = 0")
     assert nearest.indexed_nearest(queries.filter("query_id = 0"), one).count() == 0
     assert nearest.indexed_nearest(queries, docs.filter("false")).count() == 0
+
+
+def test_small_cells_bound_visits_copies_and_batches(spark):
+    """Cells of two vectors: as many visits as cells would otherwise travel, all of a batch in one frame."""
+    x = cloud(2000, 1, 1.0)
+    _, docs = tables(spark, x)
+    centres = nearest.fitted_centres(docs, 4)
+    known = nearest.indexed(docs, centres, 3, 2)[1].toPandas()
+    assert len(known) <= nearest.CELLS + 4 * 3 and known["docs"].sum() == len(x)
+    asked = docs.withColumnRenamed("doc_id", "query_id").toPandas().assign(score=float("-inf"))
+    sizes = [len(v) for v in nearest._visits(centres, known, False)(iter([asked]))]
+    assert max(sizes) <= nearest.VISITS and sum(sizes) == len(x) * (len(known) - 1)
+
+
+def test_small_blocks_do_not_copy_a_table_for_each(spark):
+    x = cloud(700, 3, 0.5)
+    docs = tables(spark, x)[1]
+    queries = docs.filter("doc_id % 10 <> 0").withColumnRenamed("doc_id", "query_id")
+    docs = docs.filter("doc_id % 10 = 0")
+    q, d = corpus._dealt(queries, docs, 2)
+    assert q.count() == 630 * corpus.BLOCKS and d.count() == 70 * corpus.BLOCKS
+    s = x.astype(float) @ x[::10].astype(float).T
+    got = {r.query_id: (r.doc_id, r.score) for r in corpus.nearest(queries, docs, 2).collect()}
+    assert {k: v[0] for k, v in got.items()} == {i: 10 * int(s[i].argmax()) for i in range(700) if i % 10}
+    assert all(abs(v[1] - s[k].max()) < 1e-6 for k, v in got.items())
+
+
+def test_products_are_taken_in_bounded_steps():
+    v = [np.ones(2, np.float32)] * 1024
+    q = pd.DataFrame({"query_id": range(1024), "query": v})
+    d = pd.DataFrame({"doc_id": range(8192), "document": v * 8})
+    tracemalloc.start()
+    got = corpus._best(q, d)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1024 and (got["doc_id"] == 0).all() and peak < 16 << 20  # all products: 64 MB
