@@ -63,13 +63,29 @@ def _restricted(args: Column, keys: Column) -> Column:
     return F.array_sort(F.map_entries(F.map_filter(args, lambda k, v: F.array_contains(keys, k))))
 
 
+_TOLD = ["told_a", "told_b"]
+
+
+def _told(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """128 bits of hash of a tool's name, the keys that count and the arguments cut to them; a row with a null among these equals none.
+
+    A hash leaves nulls out, so each value comes with whether it is null.
+    """
+    values = F.transform(_restricted(F.col("arguments"), F.col("keys")), lambda e: F.struct(e["key"], e["value"].isNull(), e["value"]))
+    some = rows.withColumn("values", values).filter("name IS NOT NULL AND keys IS NOT NULL AND values IS NOT NULL")
+    parts = [F.col(c) for c in ("name", "own", "keys", "values")]
+    return some.select(*keep, F.xxhash64(*parts).alias(_TOLD[0]), F.xxhash64(F.lit(1), *parts).alias(_TOLD[1]))
+
+
 def action_matches(golden: DataFrame, calls: DataFrame) -> DataFrame:
     """J-07/A-04: whether a golden action has an equal tool call in its run.
 
     golden: run_id, action_id, name, arguments, compare_args (null: the call's
     own keys); calls: run_id, name, arguments. Which arguments count varies by
     row, so both sides are cut to each key set in use (few per tool) and then
-    joined on equality. Pairs of calls and actions are never formed.
+    joined on equality. Pairs of calls and actions are never formed. The sets go
+    to the rows and not the rows to their tool's name, of which there are few; what
+    is compared travels as 128 bits of hash.
     """
     empty = F.expr("cast(array() as array<string>)")
     own = F.array_sort(F.map_keys("arguments"))
@@ -77,20 +93,16 @@ def action_matches(golden: DataFrame, calls: DataFrame) -> DataFrame:
     named_sets = g.filter("named IS NOT NULL").select("name", F.col("named").alias("keys")).distinct()
     own_sets = calls.select("name", own.alias("keys")).distinct()
 
-    c_named = calls.join(named_sets, "name").withColumn("own", F.lit(False))
+    c_named = calls.join(F.broadcast(named_sets), "name").withColumn("own", F.lit(False))
     c_own = calls.withColumn("keys", own).withColumn("own", F.lit(True))
-    key = ["run_id", "name", "own", "keys", "values"]
-    have = c_named.select("run_id", "name", "own", "keys", _restricted(F.col("arguments"), F.col("keys")).alias("values")).unionByName(
-        c_own.select("run_id", "name", "own", "keys", _restricted(F.col("arguments"), F.col("keys")).alias("values"))
-    ).distinct()
+    have = _told(c_named.select("run_id", "name", "own", "keys", "arguments").unionByName(c_own.select("run_id", "name", "own", "keys", "arguments")), ["run_id"])
 
     g_named = g.filter("named IS NOT NULL").withColumn("keys", F.coalesce("named", empty)).withColumn("own", F.lit(False))
     # for the call's own keys: an empty call matches, others need all its keys in the action
-    g_own = g.filter("named IS NULL").join(own_sets, "name").withColumn("own", F.lit(True))
-    cols = ["run_id", "action_id", "name", "own", "keys"]
-    want = g_named.select(*cols, _restricted(F.col("arguments"), F.col("keys")).alias("values")).unionByName(
-        g_own.select(*cols, _restricted(F.col("arguments"), F.col("keys")).alias("values"))
-    )
+    g_own = g.filter("named IS NULL").join(F.broadcast(own_sets), "name").withColumn("own", F.lit(True))
+    cols = ["run_id", "action_id", "name", "own", "keys", "arguments"]
+    want = _told(g_named.select(*cols).unionByName(g_own.select(*cols)), ["run_id", "action_id"])
+    key = ["run_id", *_TOLD]
     hit = want.join(have, key, "left_semi").select("run_id", "action_id").distinct().withColumn("hit", F.lit(True))
     return golden.join(hit, ["run_id", "action_id"], "left").withColumn("action_match", F.coalesce("hit", F.lit(False))).drop("hit")
 
