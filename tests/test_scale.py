@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spoor.operators import agent, corpus, entropy, spread
+from spoor.operators import agent, confidence, corpus, entropy, spread
 
 CALL = "run_id long, name string, arguments map<string,string>"
 GOLD = "run_id long, action_id string, name string, arguments map<string,string>, compare_args array<string>"
@@ -56,3 +56,30 @@ def test_reduction_grid_exchanges_no_cells(spark):
     got = entropy.reduction_grid(sem, 3)
     want = {(t, p, 0.5 if (t, p) == ("a", 0) else 0.0) for t in ("a", "b", "c", None) for p in range(3)}
     assert {tuple(r) for r in got.collect()} == want and got.count() == 12 and "Join" not in plan(got)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_small_groups_are_numbered_in_one_exchange(spark):
+    """Groups up to the limit travel once; cut into chunks they get the same numbers and totals."""
+    df = spark.createDataFrame([(k, (i * 7) % n, float(i % 3)) for k, n in (("a", 5), ("b", 40), ("c", 41)) for i in range(n)] + [(None, 1, 1.0)], "k string, i long, x double")
+    by = lambda limit: spread.numbered(df, ["k"], [F.col("i")], F.floor(F.col("i") / 7), "r", total="n", limit=limit)
+    rank = lambda limit: spread.ranked(df, ["k"], "x", [F.col("i")], "r", True, "n", limit=limit)
+    for made in (by, rank):
+        whole = {tuple(r) for r in made(100).select("k", "i", "x", "r", "n").collect()}
+        assert len(whole) == 86 and {(k, n) for k, _, _, _, n in whole} == {("a", 5), ("b", 40), ("c", 41)}
+        for limit in (4, 40):
+            assert {tuple(r) for r in made(limit).select("k", "i", "x", "r", "n").collect()} == whole
+        assert exchanges(made(100)) == 1
+    assert all(r == i for _, i, _, r, _ in by(100).collect())
+
+
+def test_window_means_of_short_and_long_traces_agree(spark):
+    rows = [(t, i, float((i * 5) % 11), n) for t, n in ((1, 3), (2, 8), (3, 50)) for i in range(n)]
+    df = spark.createDataFrame(rows, "traj_id long, i long, conf double, n long")
+    whole = confidence.window_means(df, 4, 64)
+    got = lambda d: {(r.traj_id, r.i, round(r.window_mean, 9)) for r in d.collect()}
+    assert got(whole) == got(confidence.window_means(df, 4, 8)) == got(confidence.window_means(df.drop("n"), 4, 8)) and whole.count() == 5 + 47
+    assert "explode" not in plan(whole)
