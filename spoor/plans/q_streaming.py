@@ -112,8 +112,8 @@ def _batches(spark, sf, name, build, order="position", key="traj_id"):
 
 def _conf_stream(spark, sf):
     def build():
-        c = confs(spark, sf).select(F.concat(F.lit("t"), F.col("traj_id").cast("string")).alias("traj_id"), F.col("i").alias("position"), "conf", F.col("traj_id").alias("n"))
-        return _ends(c, "traj_id", "position")
+        name = F.concat(F.lit("t"), F.col("traj_id").cast("string"))
+        return confs(spark, sf).select(name.alias("traj_id"), F.col("i").alias("position"), "conf", F.col("traj_id").alias("n"), (F.col("i") == F.col("n") - 1).alias("last"))
 
     return _batches(spark, sf, "confs", build)
 
@@ -137,7 +137,7 @@ def t04(spark, sf):
     """The stream joined with a threshold per problem, as the warm-up leaves it."""
     bars = confs(spark, sf).select((F.col("traj_id") % 60).alias("problem_id")).distinct()
     bars = bars.withColumn("threshold", LOW + F.col("problem_id") / 100.0 - 1e-9)
-    s = _conf_stream(spark, sf).withColumn("problem_id", F.col("n") % 60).join(bars, "problem_id").drop("problem_id", "n")
+    s = _conf_stream(spark, sf).withColumn("problem_id", F.col("n") % 60).join(F.broadcast(bars), "problem_id").drop("problem_id", "n")  # 60 rows
     return _appended(spark, state.early_stop(s, WINDOW), "t04")
 
 

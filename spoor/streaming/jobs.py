@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .state import fold
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, form: str = "parquet") -> DataFrame:
@@ -35,27 +34,6 @@ def first_wins(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def _ordered_fold(stream: DataFrame, step: Callable, out: str, state: str, start: tuple, order: str = "position") -> DataFrame:
-    """Per trajectory: `step(state, rows sorted by order) -> (state, output rows)` with the state kept between batches.
-
-    A state of None means that the trajectory has ended: nothing of it is kept.
-    """
-
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], gs: GroupState) -> Iterator[pd.DataFrame]:
-        s = gs.get if gs.exists else start
-        rows = pd.concat(list(chunks)).sort_values(order)  # one batch of one trajectory; the trigger bounds it
-        s, got = step(key[0], s, rows)
-        if s is None:
-            if gs.exists:
-                gs.remove()
-        else:
-            gs.update(tuple(s))
-        if got:
-            yield pd.DataFrame(got)
-
-    return stream.groupBy("traj_id").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
 def live_phases(stream: DataFrame, cons: int) -> DataFrame:
     """T-06: rows traj_id, position, entropy, high, low, last; emits phases as they close.
 
@@ -63,11 +41,10 @@ def live_phases(stream: DataFrame, cons: int) -> DataFrame:
     with all its tokens, and the state is freed.
     """
 
-    def step(key, state, rows):
+    def step(state, rows):
         inside, start, length, lows = bool(state[0]), int(state[1]), int(state[2]), int(state[3])
-        got = []
-        ended = bool(rows["last"].any())
-        for p, e, h, lo in zip(rows["position"], rows["entropy"], rows["high"], rows["low"]):
+        starts, durations = [], []
+        for p, e, h, lo in zip(*(rows[c].tolist() for c in ("position", "entropy", "high", "low"))):
             if pd.isna(e):
                 continue
             if not inside:
@@ -77,14 +54,16 @@ def live_phases(stream: DataFrame, cons: int) -> DataFrame:
             length += 1
             lows = lows + 1 if e <= lo else 0
             if lows >= cons:
-                got.append({"traj_id": key, "start": start, "duration": length - cons})
+                starts.append(start)
+                durations.append(length - cons)
                 inside, length, lows = False, 0, 0
-        if ended and inside:
-            got.append({"traj_id": key, "start": start, "duration": length})
-        return None if ended else (inside, start, length, lows), got
+        if inside and rows["last"].any():
+            starts.append(start)
+            durations.append(length)
+        return (inside, start, length, lows), {"start": starts, "duration": durations} if starts else {}
 
-    return _ordered_fold(
-        stream, step, "traj_id string, start long, duration long", "inside boolean, start long, length long, lows long", (False, -1, 0, 0)
+    return fold(
+        stream, step, "traj_id string, start long, duration long", "inside boolean, start long, length long, lows long", (False, -1, 0, 0), ["position"]
     )
 
 

@@ -73,3 +73,16 @@ def test_merged_turns(spark, tmp_path):
     got, held = run(spark, state.merged_turns(jobs.read_stream(spark, path, "traj_id string, turn long, position long, last boolean", 1)), tmp_path)
     assert sorted((r.traj_id, r.turn, r.position) for r in got.collect()) == [("a", t, 5 * t + p) for t in range(4) for p in range(5)] + [("b", 0, 0), ("b", 2, 2)]
     assert held[-1] == 0
+
+
+def test_trajectories_share_the_state_of_their_bucket(spark, tmp_path, tokens, monkeypatch):
+    """Python and the store are called once per bucket and trigger, and results do not turn on the buckets."""
+    path = f"{tmp_path}/in"
+    written(spark, path, tokens, SCHEMA, 2)
+    found = []
+    for buckets in (1, 3):
+        monkeypatch.setattr(state, "BUCKETS", buckets)
+        got, held = run(spark, state.early_stop(jobs.read_stream(spark, path, SCHEMA, 1).drop("token_id"), 6), tmp_path)
+        found.append({tuple(r) for r in got.collect()})
+        assert 0 < max(held) <= buckets and held[-1] == 0
+    assert found[0] == found[1] and found[0]
