@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spoor.operators import agent, confidence, corpus, entropy, spread
+from spoor.operators import agent, confidence, corpus, entropy, phases, spread
 
 CALL = "run_id long, name string, arguments map<string,string>"
 GOLD = "run_id long, action_id string, name string, arguments map<string,string>, compare_args array<string>"
@@ -83,3 +83,16 @@ def test_window_means_of_short_and_long_traces_agree(spark):
     got = lambda d: {(r.traj_id, r.i, round(r.window_mean, 9)) for r in d.collect()}
     assert got(whole) == got(confidence.window_means(df, 4, 8)) == got(confidence.window_means(df.drop("n"), 4, 8)) and whole.count() == 5 + 47
     assert "explode" not in plan(whole)
+
+
+def test_ordered_scans_call_python_per_part(spark, monkeypatch):
+    """Cuts that cross go through the ordered scan: chunks of all trajectories share the calls, and parts and chunks do not change results."""
+    rows = [(f"t{t}", p, float((p * (7 + t)) % 11) if p % 9 else None) for t in range(12) for p in range(40)]
+    toks = spark.createDataFrame(rows, "traj_id string, position int, entropy double")
+    found = []
+    for parts, chunk in ((1, 1000), (5, 7), (1024, 7)):
+        monkeypatch.setattr(phases, "PARTS", parts)
+        got = phases.phases(toks, [(30.0, 80.0, 2)], chunk)
+        found.append({tuple(r) for r in got.collect()})
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {f"t{t}" for t in range(12)}
+    assert "part#" in plan(got).split("FlatMapGroupsInPandas")[1]
