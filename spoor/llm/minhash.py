@@ -84,7 +84,8 @@ def _postings(nodes: DataFrame, similarity: float) -> DataFrame:
     `common` is how many texts have a number of the sketch, on average.
     """
     least = F.least(F.lit(shared_least(similarity)), F.ceil(F.col("m") * similarity - 1e-9))
-    rows = stage(nodes.select("t", "n", "bytes", F.size("sketch").alias("m"), F.explode("sketch").alias("v")))
+    # read twice from the written table, where sketches are packed; as a checkpoint these rows are larger than the texts
+    rows = nodes.select("t", "n", "bytes", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     often = rows.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     met = rows.join(often, "v").withColumn("prefix", (F.col("m") - least + 1).cast("int"))
     own = W.partitionBy("t")

@@ -102,3 +102,20 @@ def test_few_near_pairs_share_less(similarity):
 
     least, k = minhash.shared_least(similarity), minhash.SKETCH
     assert sum(comb(k, i) * similarity**i * (1 - similarity) ** (k - i) for i in range(least)) < 1e-9
+
+
+def test_sketches_are_not_checkpointed_number_by_number(documents, monkeypatch):
+    from spoor.llm import minhash
+
+    sizes, stage = [], minhash.stage
+
+    def counted(df):
+        out = stage(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stage", counted)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(120))) for i in range(50)] + [(99, " ".join(f"w0x{k}" for k in range(118)))]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert out == {i: i for i in range(50)} | {99: 0}
+    assert max(sizes) < 64 * 10  # a row for each number would be 64 * 51
