@@ -291,7 +291,7 @@ def _intervals(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_TAKEN = "key long, id long, h long, off long, piece binary"
+_TAKEN = "key long, id long, h long, off long, piece binary, hot boolean"
 
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,14 +300,15 @@ def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in ("id", "h", "zt", "want")}
             text = zstandard.decompress(row["zt"])
-            keys, offs, cut = [], [], []
+            keys, offs, cut, hot = [], [], [], []
             for w in row["want"]:
                 off, wins = w["sw"] >> _SPAN, w["sw"] & ((1 << _SPAN) - 1)
                 keys.append(w["key"])
                 offs.append(off)
                 cut.append(text[off : off + wins + WIDTH - 1])
+                hot.append(w["hot"])
             n = len(keys)
-            cols = [pa.array(keys), pa.array([row["id"]] * n), pa.array([row["h"]] * n), pa.array(offs), pa.array(cut, pa.binary())]
+            cols = [pa.array(keys), pa.array([row["id"]] * n), pa.array([row["h"]] * n), pa.array(offs), pa.array(cut, pa.binary()), pa.array(hot, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _TAKEN.split(", ")])
 
 
@@ -448,12 +449,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     send = docs.sparkSession.sparkContext.broadcast
     rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "h"), F.lit(MARKS)))
     packed = lambda marks: rows.mapInArrow(_packed(marks), "doc_id long, id long, h long, zt binary")
-    want = checked.groupBy("id", "h").agg(F.collect_list(F.struct("key", "sw")).alias("want"))
-    hot = checked.filter(F.col("k") > HOT).select("key").distinct()
+    want = checked.groupBy("id", "h").agg(F.collect_list(F.struct("key", "sw", (F.col("k") > HOT).alias("hot"))).alias("want"))
     taken = packed(send(_marked(checked))).select("id", "h", "zt").dropDuplicates(["id", "h"]).join(want, ["id", "h"]).mapInArrow(_take, _TAKEN)
     taken = stage(taken)
-    cool = taken.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_shard, _FOUND)
-    each = taken.join(hot, "key", "left_semi").mapInArrow(_single, "x long, y long, id long, h long, off long")
+    # no join by key before the exchange: Spark would leave the exchange out, and a broadcast join deals no key whole
+    cool = taken.filter("not hot").drop("hot").repartition("key").sortWithinPartitions("key").mapInArrow(_shard, _FOUND)
+    each = taken.filter("hot").drop("hot").mapInArrow(_single, "x long, y long, id long, h long, off long")
     twice = each.groupBy("x", "y").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("x", "y")
     split = each.join(twice, ["x", "y"], "left_semi").select("id", "h", F.col("off").alias("lo"), (F.col("off") + WIDTH).alias("hi"))
     cuts = stage(cuts.union(cool).union(split).groupBy("id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))

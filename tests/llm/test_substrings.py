@@ -87,3 +87,24 @@ def test_long_texts_are_cut_and_joined(documents):
 
 def test_empty(documents):
     assert S.without_repeats(documents([])).collect() == []
+
+
+def test_keys_stay_whole_beside_hot_ones(spark, monkeypatch):
+    """With hot keys and many partitions a key's pieces still meet in one shard."""
+    rng = random.Random(12)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    common, rows = say(40), []
+    for k in range(60):
+        own = say(45)
+        rows += [(2 * k, f"{say(30)} {own} {say(20)}"), (2 * k + 1, f"{say(50)} {own} {say(9)}" + (f" {common} {say(30)}" if k < 12 else ""))]
+    monkeypatch.setattr(S, "HOT", 3)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {c: spark.conf.get(c) for c in held}
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        got = S.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).drop("kept").collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted(tuple(r) for r in got) == brute(rows)
