@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import components, encoded, free, hashed_words, mix, steps
+from .common import components, encoded, free, hashed_words, mix, portions, steps
 
 #: Groups above this are cut by the next two of four blocks of their free 32 bits; such a part has at most 2**16 members.
 HOT = 2048
@@ -231,9 +231,8 @@ def _bands(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = encoded(batch.column(1))
-            for a, z in steps(texts, 1 << 19):
-                flat, ends = shingle_sets(texts[a:z], width)
+            for a, z, texts in portions(batch.column(1), 1 << 19):
+                flat, ends = shingle_sets(texts, width)
                 some = np.flatnonzero(np.diff(ends))
                 if not len(some):
                     continue

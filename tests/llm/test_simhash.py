@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from spoor.llm import simhash
+from spoor.llm.common import portions
 
 
 def brute_print(text, width=3):
@@ -86,3 +88,12 @@ def test_majority_of_long_texts():
     off = np.array([0, 700, 700, 701, 2000])
     want = [sum(1 << b for b in range(64) if 2 * int(((h[a:z] >> np.uint64(b)) & np.uint64(1)).sum()) > z - a) for a, z in zip(off[:-1], off[1:])]
     assert simhash.majority(h, off).tolist() == want
+
+
+def test_portions_cover_a_batch_once():
+    texts = ["é" * 40, None, "", "x" * 500, "yz", "😀", None]
+    got = list(portions(pa.array(texts), 90))
+    assert [a for a, _, _ in got] == [0] + [z for _, z, _ in got[:-1]] and got[-1][1] == len(texts)
+    assert [t for _, _, ts in got for t in ts] == [(t or "").encode() for t in texts]
+    assert all(z - a == 1 or sum(len(t) + 1 for t in ts) <= 90 for a, z, ts in got) and len(got) > 2
+    assert list(portions(pa.array([], pa.string()))) == []
